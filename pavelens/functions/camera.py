@@ -20,39 +20,44 @@ def mat(*cells) -> Column:
     return F.array(*[c if isinstance(c, Column) else F.lit(float(c)) for c in cells])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps nested matrix expressions small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matmul(a: Column, b: Column) -> Column:
-    return mat(*[sum((_m(a, i, k) * _m(b, k, j) for k in range(1, 3)), _m(a, i, 0) * _m(b, 0, j)) for i in range(3) for j in range(3)])
+    def product(m: Column, n: Column) -> Column:
+        return mat(*[_m(m, i, 0) * _m(n, 0, j) + _m(m, i, 1) * _m(n, 1, j) + _m(m, i, 2) * _m(n, 2, j) for i in range(3) for j in range(3)])
+
+    return let(a, lambda m: let(b, lambda n: product(m, n)))
 
 
 def transpose(a: Column) -> Column:
-    return mat(*[_m(a, j, i) for i in range(3) for j in range(3)])
+    return let(a, lambda m: mat(*[_m(m, j, i) for i in range(3) for j in range(3)]))
 
 
 def apply(a: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [_m(a, i, 0) * x + _m(a, i, 1) * y + _m(a, i, 2) * z for i in range(3)]
 
 
+def _minor(m: Column, i: int, j: int) -> Column:
+    """Signed minor that stands at (i, j) of the adjugate."""
+    r = [k for k in range(3) if k != j]
+    c = [k for k in range(3) if k != i]
+    value = _m(m, r[0], c[0]) * _m(m, r[1], c[1]) - _m(m, r[0], c[1]) * _m(m, r[1], c[0])
+    return value if (i + j) % 2 == 0 else -value
+
+
 def det(a: Column) -> Column:
-    g = lambda i, j: _m(a, i, j)
-    return (
-        g(0, 0) * (g(1, 1) * g(2, 2) - g(1, 2) * g(2, 1))
-        - g(0, 1) * (g(1, 0) * g(2, 2) - g(1, 2) * g(2, 0))
-        + g(0, 2) * (g(1, 0) * g(2, 1) - g(1, 1) * g(2, 0))
-    )
+    return let(a, lambda m: sum((_m(m, 0, k) * _minor(m, k, 0) for k in (1, 2)), _m(m, 0, 0) * _minor(m, 0, 0)))
 
 
 def inverse(a: Column) -> Column:
     """Adjugate over determinant; null when singular."""
-    g = lambda i, j: _m(a, i, j)
-    adj = []
-    for i in range(3):
-        for j in range(3):
-            r = [k for k in range(3) if k != j]
-            c = [k for k in range(3) if k != i]
-            minor = g(r[0], c[0]) * g(r[1], c[1]) - g(r[0], c[1]) * g(r[1], c[0])
-            adj.append(minor if (i + j) % 2 == 0 else -minor)
-    d = det(a)
-    return F.when(d != 0, mat(*[c / d for c in adj]))
+    cells = [(i, j) for i in range(3) for j in range(3)]
+    return let(
+        a, lambda m: let(det(m), lambda d: F.when(d != 0, mat(*[_minor(m, i, j) / d for i, j in cells])))
+    )
 
 
 def intrinsics(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
@@ -101,25 +106,33 @@ def bev_homography(
     uy = F.when(n < 1e-6, 1.0).otherwise(gy / n)
     uz = F.when(n < 1e-6, 0.0).otherwise(gz / n)
     yz = F.sqrt(uy * uy + uz * uz)
-    b = F.when(yz > 1e-6, uy / yz).otherwise(1.0)
-    c = F.when(yz > 1e-6, uz / yz).otherwise(0.0)
-    # forward = z minus its part along down = (0, -bc, b*b); unit length |b| unless b is ~0
-    flat = F.abs(b) > 1e-6
-    fwd_y = F.when(flat, -c * F.signum(b)).otherwise(F.lit(-1.0))
-    fwd_z = F.when(flat, F.abs(b)).otherwise(0.0)
-    right_x = F.signum(b * fwd_z - c * fwd_y)
-    ca, sa = F.cos(F.radians(yaw_deg)), F.sin(F.radians(yaw_deg))
-    axes = mat(
-        ca * right_x, sa * right_x, F.lit(0.0),
-        -sa * fwd_y, ca * fwd_y, cam_h * b,
-        -sa * fwd_z, ca * fwd_z, cam_h * c,
+    down = F.struct(
+        F.when(yz > 1e-6, uy / yz).otherwise(1.0).alias("b"), F.when(yz > 1e-6, uz / yz).otherwise(0.0).alias("c"),
+        F.cos(F.radians(yaw_deg)).alias("ca"), F.sin(F.radians(yaw_deg)).alias("sa"),
     )
+
+    def axes(v: Column) -> Column:
+        b, c = v["b"], v["c"]
+        # forward = z minus its part along down, of unit length; straight up when looking along down
+        flat = F.abs(b) > 1e-6
+        fy = F.when(flat, -c * F.signum(b)).otherwise(-1.0)
+        fz = F.when(flat, F.abs(b)).otherwise(0.0)
+        rx = F.signum(b * fz - c * fy)
+        return mat(
+            v["ca"] * rx, v["sa"] * rx, 0,
+            -v["sa"] * fy, v["ca"] * fy, cam_h * b,
+            -v["sa"] * fz, v["ca"] * fz, cam_h * c,
+        )
+
     px = 1.0 / BEV_PIXELS_PER_METER
-    canvas = mat(F.lit(px), 0, -width / 2, 0, F.lit(-px), far, 0, 0, 1)
-    inv = inverse(matmul(matmul(k, axes), canvas))
-    scale = F.when(F.abs(inv[8]) > 1e-9, inv[8]).otherwise(1.0)
+    canvas = mat(px, 0, -width / 2, 0, -px, far, 0, 0, 1)
     eye = mat(1, 0, 0, 0, 1, 0, 0, 0, 1)
-    return F.coalesce(F.transform(inv, lambda v: v / scale), eye)
+
+    def scaled(inv: Column) -> Column:
+        whole = F.transform(inv, lambda v: v / F.when(F.abs(inv[8]) > 1e-9, inv[8]).otherwise(1.0))
+        return F.coalesce(whole, eye)
+
+    return let(inverse(matmul(matmul(k, let(down, axes)), canvas)), scaled)
 
 
 def bev_size(near: Column, far: Column, width: Column) -> Column:
@@ -132,12 +145,12 @@ def bev_size(near: Column, far: Column, width: Column) -> Column:
 def apply_homography(h: Column, points: Column) -> Column:
     """Project an array of struct(x, y); the scale is left alone when it is zero."""
 
-    def place(p: Column) -> Column:
-        u, v, w = apply(h, p["x"], p["y"], F.lit(1.0))
+    def place(m: Column, p: Column) -> Column:
+        u, v, w = apply(m, p["x"], p["y"], F.lit(1.0))
         s = F.when(w != 0, w).otherwise(1.0)
         return F.struct((u / s).alias("x"), (v / s).alias("y"))
 
-    return F.transform(points, place)
+    return let(h, lambda m: F.transform(points, lambda p: place(m, p)))
 
 
 def fisheye_project(
@@ -176,18 +189,24 @@ def vp_to_pitch_yaw(u: Column, v: Column, w: Column, h: Column, fov_deg: Column,
 
 
 def rodrigues_matrix(rx: Column, ry: Column, rz: Column) -> Column:
-    theta = F.sqrt(rx * rx + ry * ry + rz * rz)
-    still = theta < 1e-8
-    safe = F.when(still, 1.0).otherwise(theta)
-    x, y, z = rx / safe, ry / safe, rz / safe
-    s, c = F.sin(theta), 1 - F.cos(theta)
-    turned = [
-        1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y,
-        c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x,
-        c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y),
-    ]
-    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-    return mat(*[F.when(still, e).otherwise(t) for e, t in zip(eye, turned)])
+    def turn(v: Column) -> Column:
+        x, y, z = v["x"], v["y"], v["z"]
+        theta = F.sqrt(x * x + y * y + z * z)
+        # sin(t)/t and (1 - cos(t))/t^2; identity below 1e-8
+        still = theta < 1e-8
+        t = F.when(still, 1.0).otherwise(theta)
+        p = F.when(still, 0.0).otherwise(F.sin(t) / t)
+        q = F.when(still, 0.0).otherwise((1 - F.cos(t)) / (t * t))
+        return let(
+            F.struct(p.alias("p"), q.alias("q")),
+            lambda f: mat(
+                1 - f["q"] * (y * y + z * z), f["q"] * x * y - f["p"] * z, f["q"] * x * z + f["p"] * y,
+                f["q"] * x * y + f["p"] * z, 1 - f["q"] * (x * x + z * z), f["q"] * y * z - f["p"] * x,
+                f["q"] * x * z - f["p"] * y, f["q"] * y * z + f["p"] * x, 1 - f["q"] * (x * x + y * y),
+            ),
+        )
+
+    return let(F.struct(rx.alias("x"), ry.alias("y"), rz.alias("z")), turn)
 
 
 def euler_matrix(pitch_deg: Column, yaw_deg: Column, roll_deg: Column) -> Column:
@@ -205,35 +224,50 @@ def euler_matrix(pitch_deg: Column, yaw_deg: Column, roll_deg: Column) -> Column
 def align_vectors(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
     """Rotation taking direction a to direction b."""
     na, nb = F.sqrt(ax * ax + ay * ay + az * az), F.sqrt(bx * bx + by * by + bz * bz)
-    ax, ay, az, bx, by, bz = ax / na, ay / na, az / na, bx / nb, by / nb, bz / nb
-    vx, vy, vz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
-    s2, c = vx * vx + vy * vy + vz * vz, ax * bx + ay * by + az * bz
-    q = (1 - c) / F.when(s2 == 0, 1.0).otherwise(s2)
-    turned = [
-        1 - q * (vy * vy + vz * vz), q * vx * vy - vz, q * vx * vz + vy,
-        q * vx * vy + vz, 1 - q * (vx * vx + vz * vz), q * vy * vz - vx,
-        q * vx * vz - vy, q * vy * vz + vx, 1 - q * (vx * vx + vy * vy),
-    ]
-    sign = F.when(c > 0, 1.0).otherwise(-1.0)
-    return mat(*[F.when(s2 == 0, sign if i % 4 == 0 else F.lit(0.0)).otherwise(t) for i, t in enumerate(turned)])
+    unit = F.struct(*[(c / n).alias(k) for k, c, n in (("ax", ax, na), ("ay", ay, na), ("az", az, na), ("bx", bx, nb), ("by", by, nb), ("bz", bz, nb))])
+
+    def crossed(u: Column) -> Column:
+        return F.struct(
+            (u["ay"] * u["bz"] - u["az"] * u["by"]).alias("x"), (u["az"] * u["bx"] - u["ax"] * u["bz"]).alias("y"),
+            (u["ax"] * u["by"] - u["ay"] * u["bx"]).alias("z"), (u["ax"] * u["bx"] + u["ay"] * u["by"] + u["az"] * u["bz"]).alias("c"),
+        )
+
+    def turn(v: Column) -> Column:
+        x, y, z, c = v["x"], v["y"], v["z"], v["c"]
+        s2 = x * x + y * y + z * z
+        q = F.when(s2 == 0, 0.0).otherwise((1 - c) / F.when(s2 == 0, 1.0).otherwise(s2))
+        sign = F.when((s2 == 0) & (c <= 0), -1.0).otherwise(1.0)
+        return mat(
+            sign - q * (y * y + z * z), q * x * y - z, q * x * z + y,
+            q * x * y + z, sign - q * (x * x + z * z), q * y * z - x,
+            q * x * z - y, q * y * z + x, sign - q * (x * x + y * y),
+        )
+
+    return let(let(unit, crossed), turn)
 
 
 def quaternion_matrix(x: Column, y: Column, z: Column, w: Column) -> Column:
-    n = F.sqrt(x * x + y * y + z * z + w * w)
-    x, y, z, w = x / n, y / n, z / n, w / n
-    return mat(
-        1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
-        2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
-        2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
-    )
+    def turn(q: Column) -> Column:
+        x, y, z, w = q["x"], q["y"], q["z"], q["w"]
+        s = 2 / (x * x + y * y + z * z + w * w)
+        return mat(
+            1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w),
+            s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w),
+            s * (x * z - y * w), s * (y * z + x * w), 1 - s * (x * x + y * y),
+        )
+
+    return let(F.struct(x.alias("x"), y.alias("y"), z.alias("z"), w.alias("w")), turn)
 
 
 def world_to_camera(r: Column, tx: Column, ty: Column, tz: Column) -> Column:
     """Inverse of a camera-to-world pose whose axes are first turned 180 degrees about x."""
-    flipped = mat(*[_m(r, i, j) if j == 0 else -_m(r, i, j) for i in range(3) for j in range(3)])
-    inv = transpose(flipped)
-    x, y, z = apply(inv, tx, ty, tz)
-    return F.struct(inv.alias("r"), (-x).alias("tx"), (-y).alias("ty"), (-z).alias("tz"))
+
+    def invert(inv: Column) -> Column:
+        x, y, z = apply(inv, tx, ty, tz)
+        return F.struct(inv.alias("r"), (-x).alias("tx"), (-y).alias("ty"), (-z).alias("tz"))
+
+    flip = mat(1, 0, 0, 0, -1, 0, 0, 0, -1)
+    return let(transpose(matmul(r, flip)), invert)
 
 
 ROUND_DEFECTS = ("pothole", "puddle", "manhole")

@@ -76,7 +76,7 @@ def depth_metrics(px: DataFrame) -> DataFrame:
 def geodesic_error(pred: list[Column], target: list[Column]) -> Column:
     """Angle between two Rodrigues rotations, in radians."""
     rel = camera.matmul(camera.transpose(camera.rodrigues_matrix(*pred)), camera.rodrigues_matrix(*target))
-    cos = (rel[0] + rel[4] + rel[8] - 1.0) / 2
+    cos = camera.let(rel, lambda m: (m[0] + m[4] + m[8] - 1.0) / 2)
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
 
 

@@ -1,2 +1,2 @@
-from . import geo, manifest, scalars, sources, telemetry, trajectory  # noqa: F401
+from . import detection, geo, manifest, points, scalars, sources, telemetry, trajectory  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -43,8 +43,14 @@ def read_stream_csv(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def read_process_meta(spark: SparkSession, glob: str) -> DataFrame:
-    """One JSON document per frame; unreadable documents give null telemetry."""
+def read_process_meta(spark: SparkSession, glob: str, one_per_file: bool = True) -> DataFrame:
+    """Frame documents; unreadable ones give null telemetry.
+
+    A capture folder has one document per file named process_meta_{filename}.json. Large
+    surveys pack them as JSON lines that carry ``filename`` themselves.
+    """
+    if not one_per_file:
+        return spark.read.schema(schemas.PROCESS_META_LINE).json(glob, mode="PERMISSIVE")
     name = F.col("_metadata.file_name")
     return (
         spark.read.schema(schemas.PROCESS_META)

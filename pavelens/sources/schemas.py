@@ -53,6 +53,8 @@ PROCESS_META = T.StructType(
     ]
 )
 
+PROCESS_META_LINE = T.StructType([T.StructField("filename", T.StringType()), *PROCESS_META.fields])
+
 DATASET_SAMPLE = T.StructType(
     [
         T.StructField("scene_id", T.StringType()),

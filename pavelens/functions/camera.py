@@ -65,7 +65,7 @@ def intrinsics(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
 
 
 def intrinsics_from_fov(w: Column, h: Column, fov_deg: Column) -> Column:
-    f = (w / 2.0) / F.tan(F.radians(fov_deg) / 2)
+    f = F.try_divide(w / 2.0, F.tan(F.radians(fov_deg) / 2))
     return intrinsics(f, f, w / 2.0, h / 2.0)
 
 
@@ -180,7 +180,7 @@ def pixels_to_meters(k: Column, vp_y: Column, cam_h: Column, px: Column, py: Col
 
 def vp_to_pitch_yaw(u: Column, v: Column, w: Column, h: Column, fov_deg: Column, is_360: Column) -> Column:
     """Pitch and yaw implied by a vanishing point; 360 media get the correction sign."""
-    f = (w / 2.0) / F.tan(F.radians(fov_deg) / 2)
+    f = F.try_divide(w / 2.0, F.tan(F.radians(fov_deg) / 2))
     sign = F.when(is_360, 1.0).otherwise(-1.0)
     return F.struct(
         F.degrees(F.atan2(sign * (h / 2.0 - v), f)).alias("pitch"),
@@ -224,7 +224,7 @@ def euler_matrix(pitch_deg: Column, yaw_deg: Column, roll_deg: Column) -> Column
 def align_vectors(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
     """Rotation taking direction a to direction b."""
     na, nb = F.sqrt(ax * ax + ay * ay + az * az), F.sqrt(bx * bx + by * by + bz * bz)
-    unit = F.struct(*[(c / n).alias(k) for k, c, n in (("ax", ax, na), ("ay", ay, na), ("az", az, na), ("bx", bx, nb), ("by", by, nb), ("bz", bz, nb))])
+    unit = F.struct(*[F.try_divide(c, n).alias(k) for k, c, n in (("ax", ax, na), ("ay", ay, na), ("az", az, na), ("bx", bx, nb), ("by", by, nb), ("bz", bz, nb))])
 
     def crossed(u: Column) -> Column:
         return F.struct(
@@ -249,7 +249,7 @@ def align_vectors(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz
 def quaternion_matrix(x: Column, y: Column, z: Column, w: Column) -> Column:
     def turn(q: Column) -> Column:
         x, y, z, w = q["x"], q["y"], q["z"], q["w"]
-        s = 2 / (x * x + y * y + z * z + w * w)
+        s = F.try_divide(F.lit(2.0), x * x + y * y + z * z + w * w)
         return mat(
             1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w),
             s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w),

@@ -193,7 +193,7 @@ def known_area_error(df: DataFrame, gsd: float) -> DataFrame:
         df.where(F.size("points") >= 3)
         .withColumn("area_m2", area)
         .withColumn("error_m2", error)
-        .withColumn("error_pct", error / F.col("known_m2") * 100.0)
+        .withColumn("error_pct", F.try_divide(error, "known_m2") * 100.0)
         .withColumn("aabb_w_m", side(xs))
         .withColumn("aabb_h_m", side(ys))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["filename", "view"]
+BATCH_ROWS = 10_000
 _PLAN = "filename string, view string, det_idx long, base_idx long, add_seq long, outline_seq long, class_seq long"
 
 
@@ -18,10 +19,9 @@ def _replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     The first row of a view has the action 'size' and its number of detections. Items
     are [base_idx, add_seq, outline_seq, class_seq].
     """
-    view, items = None, []
+    view, items, rows = None, [], []
 
-    def flush():
-        rows = [(*view, i, *item) for i, item in enumerate(items)]
+    def frame():
         return pd.DataFrame(rows, columns=["filename", "view", "det_idx", "base_idx", "add_seq", "outline_seq", "class_seq"]).astype(
             {c: "Int64" for c in ("base_idx", "add_seq", "outline_seq", "class_seq")}
         )
@@ -30,7 +30,10 @@ def _replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for filename, name, seq, action, idx in part.itertuples(index=False):
             if (filename, name) != view:
                 if view is not None:
-                    yield flush()
+                    rows.extend((*view, i, *item) for i, item in enumerate(items))
+                if len(rows) >= BATCH_ROWS:
+                    yield frame()
+                    rows = []
                 view, items = (filename, name), []
             idx = None if pd.isna(idx) else int(idx)
             known = idx is not None and 0 <= idx < len(items)
@@ -47,7 +50,8 @@ def _replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif action == "delete" and known:
                 items.pop(idx)
     if view is not None:
-        yield flush()
+        rows.extend((*view, i, *item) for i, item in enumerate(items))
+        yield frame()
 
 
 def replay_edits(det: DataFrame, log: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ def _segments(samples: DataFrame, keys: list[str], on: str, cols: list[str], wid
         samples, s, leads={"_nx": F.struct(on, *cols)}, totals={"_n": ("count", F.lit(1))}
     ).withColumn("_h", F.col(f"_nx.{on}") - F.col(on))
     slopes = F.when(
-        F.col("_h").isNotNull(),
-        F.struct(F.col("_h").alias("h"), *[((F.col(f"_nx.{c}") - F.col(c)) / F.col("_h")).alias(c) for c in cols]),
+        F.col("_h") > 0,
+        F.struct(F.col("_h").alias("h"), *[F.try_divide(F.col(f"_nx.{c}") - F.col(c), "_h").alias(c) for c in cols]),
     )
     around = scan(here.withColumn("_m", slopes), s, lags={"_ml": F.col("_m")}, leads={"_mr": F.col("_m")})
     return around.where(F.col("_m").isNotNull())

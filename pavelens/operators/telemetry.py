@@ -69,9 +69,7 @@ def select_gps(samples: DataFrame) -> DataFrame:
         "session_id",
         "seq",
         "time_sec",
-        F.col("data")[0].alias("lat"),
-        F.col("data")[1].alias("lon"),
-        F.col("data")[3].alias("speed"),
+        *[F.get("data", F.lit(i)).alias(n) for i, n in ((0, "lat"), (1, "lon"), (3, "speed"))],
     )
 
 
@@ -193,8 +191,9 @@ def _score_gps(step: DataFrame) -> DataFrame:
     full9 = (F.col("stream") == "GPS9") & (F.size(data) >= 9)
     dop = F.when(full9, F.get(data, F.lit(7))).otherwise(1.0)
     fixq = F.when(full9, F.get(data, F.lit(8))).otherwise(3.0)
-    derived = haversine(prev[0], prev[1], data[0], data[1]) / dt
-    measured = data[3]
+    at = lambda a, i: F.get(a, F.lit(i))
+    derived = F.try_divide(haversine(at(prev, 0), at(prev, 1), at(data, 0), at(data, 1)), dt)
+    measured = at(data, 3)
     error = F.when((measured > MOVING_MS) | (derived > MOVING_MS), F.abs(derived - measured))
     ok = dt > 0
     agg = step.groupBy("session_id").agg(
@@ -223,8 +222,8 @@ def _score_gps(step: DataFrame) -> DataFrame:
 
 def imu_health(samples: DataFrame) -> DataFrame:
     """Mean deviation of the gravity magnitude from 1 and a 0-100 score per session."""
-    d = F.col("data")
-    error = F.abs(1.0 - F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    x, y, z = (F.get("data", F.lit(i)) for i in range(3))
+    error = F.abs(1.0 - F.sqrt(x * x + y * y + z * z))
     agg = samples.where(F.col("stream") == "GRAV").groupBy("session_id").agg(F.avg(error).alias("_e"))
     return agg.select(
         "session_id",

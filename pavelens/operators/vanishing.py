@@ -39,13 +39,13 @@ def vanishing_point(segments: DataFrame) -> DataFrame:
     Every pair of an image counts, so the pair table is part of the definition; it is
     made by a salted join and reduced to integer histograms, which the image size bounds.
     """
-    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     ok = F.col("x1") != F.col("x2")
     line = segments.where(ok).withColumn("m", slope).where(F.abs("m").between(MIN_SLOPE, MAX_SLOPE))
     line = line.select("image", "seg_id", "m", (F.col("y1") - F.col("m") * F.col("x1")).alias("c"), "w", "h")
     other = line.select("image", F.col("seg_id").alias("_s"), F.col("m").alias("_m"), F.col("c").alias("_c"))
     pairs = salted_join(line, other, ["image"]).where((F.col("seg_id") < F.col("_s")) & (F.abs(F.col("m") - F.col("_m")) >= MIN_SLOPE_GAP))
-    x = (F.col("_c") - F.col("c")) / (F.col("m") - F.col("_m"))
+    x = F.try_divide(F.col("_c") - F.col("c"), F.col("m") - F.col("_m"))
     hits = (
         pairs.withColumn("_x", x).withColumn("ix", F.col("_x").cast("long"))
         .withColumn("iy", (F.col("m") * F.col("_x") + F.col("c")).cast("long"))
@@ -76,7 +76,7 @@ def vanishing_point_ransac(segments: DataFrame, n_iter: int = 3000, inlier_px: f
         "image", "_i", "x1", "y1", "x2", "y2",
         (F.col("y1") - F.col("y2")).cast("double").alias("la"), (F.col("x2") - F.col("x1")).cast("double").alias("lb"),
         (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).cast("double").alias("lc"),
-        (F.col("_len") / F.col("_max")).alias("weight"),
+        F.try_divide("_len", "_max").alias("weight"),
         ((F.col("x1") + F.col("x2")) / 2.0 >= F.col("w") / 2.0).alias("right"),
     )
     image = num.groupBy("image").agg(F.max("_n").alias("n"), F.max("w").alias("w"), F.max("h").alias("h"))
@@ -95,7 +95,7 @@ def vanishing_point_ransac(segments: DataFrame, n_iter: int = 3000, inlier_px: f
     vp = trials.join(side("p", "_i"), ["image", "_i"]).join(side("q", "_j"), ["image", "_j"])
     cross = lambda u, v: F.col(f"p{u}") * F.col(f"q{v}") - F.col(f"p{v}") * F.col(f"q{u}")
     vp = vp.withColumn("_w", cross("la", "lb")).where(F.abs("_w") >= 1e-10)
-    vp = vp.withColumn("vx", cross("lb", "lc") / F.col("_w")).withColumn("vy", cross("lc", "la") / F.col("_w"))
+    vp = vp.withColumn("vx", F.try_divide(cross("lb", "lc"), "_w")).withColumn("vy", F.try_divide(cross("lc", "la"), "_w"))
     vp = vp.where((F.col("vy") <= F.col("h") * 0.5) & (F.abs(F.col("vx") - F.col("w") / 2.0) <= F.col("w"))).select("image", "k", "vx", "vy", "h")
     met = salted_join(line, vp, ["image"])
     gap = F.abs(F.col("la") * F.col("vx") + F.col("lb") * F.col("vy") + F.col("lc")) / (F.hypot("la", "lb") + 1e-9)
@@ -108,11 +108,12 @@ def vanishing_point_ransac(segments: DataFrame, n_iter: int = 3000, inlier_px: f
     votes = votes.where((F.col("inliers") >= min_inliers) & ~F.col("_l") & F.col("_r"))
     lift = F.greatest(F.lit(0.0), (F.col("h") * 0.5 - F.col("vy")) / (F.col("h") * 0.5)) * 0.3 + 1.0
     best = votes.withColumn("_score", F.col("_s") * lift).groupBy("image").agg(
-        F.max_by(F.struct("vx", "vy", "inliers"), F.struct("_score", -F.col("k"))).alias("_b")
+        F.max_by(F.struct("vx", "vy", "inliers", F.col("_score").alias("score")), F.struct("_score", -F.col("k"))).alias("_b")
     )
     return image.join(best, "image", "left").select(
         "image",
         F.coalesce("_b.vx", F.col("w") / 2.0).alias("u"),
         F.coalesce("_b.vy", F.col("h") * 0.35).alias("v"),
         F.coalesce("_b.inliers", F.lit(0)).alias("inliers"),
+        F.coalesce("_b.score", F.lit(0.0)).alias("score"),
     )

@@ -91,12 +91,12 @@ def parse_labels(lines: DataFrame) -> DataFrame:
     """Polygon text rows (image, line_no, value) to class id and points; short rows are dropped."""
     tokens = F.split(F.trim("value"), r"\s+")
     xy = lambda i: F.struct(
-        tokens[i].cast("double").alias("x"), F.get(tokens, i + 1).cast("double").alias("y")
+        F.get(tokens, i).try_cast("double").alias("x"), F.get(tokens, i + 1).try_cast("double").alias("y")
     )
     return lines.where(F.size(tokens) >= MIN_LABEL_TOKENS).select(
         "image",
         "line_no",
-        tokens[0].cast("int").alias("class_id"),
+        F.get(tokens, F.lit(0)).try_cast("int").alias("class_id"),
         F.transform(F.sequence(F.lit(1), F.size(tokens) - 1, F.lit(2)), xy).alias("points"),
     )
 

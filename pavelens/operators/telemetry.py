@@ -124,6 +124,14 @@ def drop_speed_outliers(gps: DataFrame, max_err: float = 8.0, width: float = SEC
     three samples, or left with under two, are returned unchanged.
     """
     s = series("session_id", ("time_sec", "seq"), width)
+    done = speed_outlier_flags(gps, max_err, s)
+    counted = scan(done, s, totals={"_n": ("count", F.lit(1)), "_k": ("sum", F.col("_kept").cast("int"))})
+    untouched = (F.col("_n") < 3) | (F.col("_k") < 2)
+    return counted.where(F.col("_kept") | untouched).select(*gps.columns)
+
+
+def speed_outlier_flags(gps: DataFrame, max_err: float, s: Series, seed: DataFrame | None = None) -> DataFrame:
+    """Rows with _kept. ``seed`` (session_id, t, la, lo) is the last kept fix before these rows."""
     fix = F.struct(
         F.col("time_sec").cast("double").alias("t"), F.col("lat").cast("double").alias("la"),
         F.col("lon").cast("double").alias("lo"),
@@ -135,6 +143,13 @@ def drop_speed_outliers(gps: DataFrame, max_err: float = 8.0, width: float = SEC
         .agg(F.max_by(fix, F.struct(*s.order)).alias("_tail"))
         .select(*s.block_keys, F.lag("_tail").over(w).alias("_in"))
     )
+    begin = F.lit(None).cast(T.StructType([T.StructField(c, T.DoubleType()) for c in ("t", "la", "lo")]))
+    seeds = None if seed is None else cut(seed.select("session_id", F.struct("t", "la", "lo").alias("_seed")))
+
+    def seeded(df: DataFrame) -> DataFrame:
+        return df.withColumn("_seed", begin) if seeds is None else df.join(seeds, "session_id", "left")
+
+    guess = seeded(guess).select(*s.block_keys, F.coalesce("_in", "_seed").alias("_in"))
     schema = T.StructType(
         [*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("_t", "_la", "_lo")], T.StructField("_kept", T.BooleanType())]
     )
@@ -156,17 +171,14 @@ def drop_speed_outliers(gps: DataFrame, max_err: float = 8.0, width: float = SEC
         tail = F.max_by(fix, F.when(F.col("_kept"), F.struct(*s.order)))
         seen = done.groupBy(*s.block_keys).agg(tail.alias("_tail"), F.first("_t").alias("_t"))
         true_in = F.last("_tail", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        wrong = seen.select(*s.block_keys, "_t", true_in.alias("_in")).where(~F.col("_t").eqNullSafe(F.col("_in.t")))
+        held = seeded(seen.select(*s.block_keys, "_t", true_in.alias("_in")))
+        wrong = held.select(*s.block_keys, "_t", F.coalesce("_in", "_seed").alias("_in")).where(~F.col("_t").eqNullSafe(F.col("_in.t")))
         wrong = cut(wrong.drop("_t"))
         if wrong.isEmpty():
             break
         again = run(done.join(wrong, s.block_keys, "left_semi").select(*rows.columns), wrong)
         done = cut(done.join(wrong, s.block_keys, "left_anti").unionByName(again))
-    counted = scan(
-        done, s, totals={"_n": ("count", F.lit(1)), "_k": ("sum", F.col("_kept").cast("int"))}
-    )
-    untouched = (F.col("_n") < 3) | (F.col("_k") < 2)
-    return counted.where(F.col("_kept") | untouched).select(*gps.columns)
+    return done.drop("_t", "_la", "_lo")
 
 
 def gps_health(samples: DataFrame) -> DataFrame:
@@ -182,10 +194,11 @@ def gps_health(samples: DataFrame) -> DataFrame:
     )
     used = present.where((F.col("stream") == "GPS9") == (F.col("_has9") == 1))
     step = scan(used, _by_stored_order(), lags={"_p": F.struct("time_sec", "data")})
-    return _score_gps(step)
+    return gps_score(gps_sums(step))
 
 
-def _score_gps(step: DataFrame) -> DataFrame:
+def gps_sums(step: DataFrame) -> DataFrame:
+    """Per-session sums over samples that carry the previous sample as _p."""
     data, prev = F.col("data"), F.col("_p.data")
     dt = F.col("time_sec") - F.col("_p.time_sec")
     full9 = (F.col("stream") == "GPS9") & (F.size(data) >= 9)
@@ -196,14 +209,20 @@ def _score_gps(step: DataFrame) -> DataFrame:
     measured = at(data, 3)
     error = F.when((measured > MOVING_MS) | (derived > MOVING_MS), F.abs(derived - measured))
     ok = dt > 0
-    agg = step.groupBy("session_id").agg(
+    return step.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("samples"),
-        F.coalesce(F.avg(F.when(ok, error)), F.lit(0.0)).alias("avg_err"),
+        F.coalesce(F.sum(F.when(ok, error)), F.lit(0.0)).alias("err_sum"),
+        F.count(F.when(ok, error)).alias("err_n"),
         F.coalesce(F.max(F.when(ok, error)), F.lit(0.0)).alias("max_err"),
         F.count_if(ok & (fixq < 3)).alias("bad_fix"),
         F.count_if(ok & (dop > 3.0)).alias("bad_dop"),
     )
+
+
+def gps_score(sums: DataFrame) -> DataFrame:
+    """Report columns from the per-session sums of gps_sums; the sums of parts add up."""
     n = F.col("samples")
+    agg = sums.withColumn("avg_err", F.when(F.col("err_n") > 0, F.col("err_sum") / F.col("err_n")).otherwise(0.0))
     penalty = (
         F.col("avg_err") * 5 + F.col("bad_fix") / n * 40 + F.col("bad_dop") / n * 15
         + F.when(F.col("max_err") > 15.0, 15.0).otherwise(0.0)

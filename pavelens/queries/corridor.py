@@ -97,7 +97,7 @@ v AS (SELECT a.image, a.w, a.h, a.i * (2 * a.n - a.i - 1) / 2 + b.i - a.i - 1 AS
 z AS (SELECT * FROM v WHERE vy <= h * 0.5 AND abs(vx - w / 2.0) <= w),
 t AS (SELECT z.image, z.k, z.vx, z.vy, z.h, l.wt, l.rt, abs(la * vx + lb * vy + lc) / (sqrt(la * la + lb * lb) + 1e-9) AS gap, abs((vx - (x1 + x2) / 2.0) * (x2 - x1) + (vy - (y1 + y2) / 2.0) * (y2 - y1)) / ((sqrt(pow(vx - (x1 + x2) / 2.0, 2) + pow(vy - (y1 + y2) / 2.0, 2)) + 1e-9) * (len + 1e-9)) AS cs FROM z JOIN l ON l.image = z.image),
 s AS (SELECT image, k, vx, vy, count(*) AS n, sum(wt) * (1 + greatest(0, (any_value(h) * 0.5 - vy) / (any_value(h) * 0.5)) * 0.3) AS sc FROM t WHERE gap < 15 AND cs >= 0.7 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4 AND bool_or(rt) AND bool_or(NOT rt)),
-best AS (SELECT image, max(round(sc, 6)) AS sc FROM s GROUP BY 1), im AS (SELECT DISTINCT image FROM sg)
+best AS (SELECT image, max(sc) AS sc FROM s GROUP BY 1), im AS (SELECT DISTINCT image FROM sg)
 SELECT im.image, {r('coalesce(best.sc, 0)', 4)} AS score FROM im LEFT JOIN best ON best.image = im.image""")
 def vanishing_point_ransac(spark, sf):
     seg = _segments(spark, sf)

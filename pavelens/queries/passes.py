@@ -78,11 +78,11 @@ def pass_summary(spark, sf):
     return out.withColumn("mean_lateral_m", F.round("mean_lateral_m", 2)).withColumn("mean_longitudinal_m", F.round("mean_longitudinal_m", 2)).withColumn("mean_delta_heading", F.round("mean_delta_heading", 1))
 
 
-@query("nearest_earlier", "WITH " + PASS_SQL + f""", p AS (SELECT project, frame_idx, round(frame_idx * 37 % 401 + value / 500, 3) AS x, CAST(frame_idx % 3 AS DOUBLE) AS y FROM pf),
+@query("nearest_earlier", "WITH " + PASS_SQL + f""", p AS (SELECT project, frame_idx, frame_idx * 37 % 401 + value / 500 AS x, CAST(frame_idx % 3 AS DOUBLE) AS y FROM pf),
 c AS (SELECT a.project, a.frame_idx, b.frame_idx AS t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON b.project = a.project AND b.frame_idx < a.frame_idx - 15 AND abs(a.x - b.x) <= 4)
 SELECT project, frame_idx, {r('min(d)')} AS d FROM c WHERE d <= 4 GROUP BY 1, 2""")
 def nearest_earlier(spark, sf):
-    f = _pf(spark, sf).select("project", "frame_idx", F.round(F.col("frame_idx") * 37 % 401 + F.col("value") / 500, 3).alias("x"), (F.col("frame_idx") % 3).cast("double").alias("y"))
+    f = _pf(spark, sf).select("project", "frame_idx", (F.col("frame_idx") * 37 % 401 + F.col("value") / 500).alias("x"), (F.col("frame_idx") % 3).cast("double").alias("y"))
     return ps.nearest_earlier(f, ["project"], 15, 4.0).select("project", "frame_idx", rnd("_d").alias("d"))
 
 
@@ -131,7 +131,7 @@ def defect_pairs(spark, sf):
     return gp.defect_pairs(_det(spark, sf), ["project"]).select("a", "b")
 
 
-@query("defect_groups", "WITH RECURSIVE " + DET_SQL + """, e AS (SELECT a AS u, b AS v FROM sm WHERE gap < 0.2 - 1e-9 OR sim > 0.5 + 1e-9), s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+@query("defect_groups", "WITH RECURSIVE " + DET_SQL + """, e AS MATERIALIZED (SELECT a AS u, b AS v FROM sm WHERE gap < 0.2 - 1e-9 OR sim > 0.5 + 1e-9), s AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 reach AS (SELECT det_id AS n, det_id AS c FROM det UNION SELECT s.v, r.c FROM reach r JOIN s ON s.u = r.n WHERE r.c < s.v)
 SELECT n AS det_id, min(c) AS group_id FROM reach GROUP BY 1""")
 def defect_groups(spark, sf):

@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None) -> Dat
         both = cur.unionByName(cur.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*node).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
         large = (
-            salted_join(both, low.select(*node, "m"), node, counts=low.select(*node, "_n"))
+            salted_join(both, low.select(*node, "m"), node, counts=low.select(*node, "_n"), rows=2 * seen[0])
             .where("v > u")
             .select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None) -> Dat
         large = cut(large)
         low = large.groupBy(*node).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
         small = (
-            salted_join(large, low.select(*node, "m"), node, counts=low.select(*node, "_n"))
+            salted_join(large, low.select(*node, "m"), node, counts=low.select(*node, "_n"), rows=2 * seen[0])
             .select(*keys, F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(*keys, F.col("e.v").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")

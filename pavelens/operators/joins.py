@@ -35,11 +35,15 @@ def salted_join(
     counts: DataFrame | None = None,
     n: str = "_n",
     per_task: int = ROWS_PER_TASK,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join whose hot left keys are cut into pieces that meet a copy of the right rows.
 
-    ``counts`` may carry already known left row counts per key in column ``n``.
+    ``counts`` may carry already known left row counts per key in column ``n``; ``rows``
+    an already known upper bound of all left rows, under which no key can be hot.
     """
+    if rows is not None and rows <= per_task:
+        return left.join(right, keys, how)
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     hot = F.broadcast(hot_keys(counts, keys, n, per_task))

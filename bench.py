@@ -10,9 +10,8 @@ from pavelens.queries import QUERIES
 from pavelens.session import build_session
 
 HEADLINE = [
-    "manifest_report", "select_gps", "gps_health", "arc_length", "location_segments", "sample_by_distance",
-    "gaussian_smooth_nearest", "pchip_resample", "repeat_pass_candidates", "bev_grid", "confusion_matrix",
-    "depth_metrics", "batch_summary", "area_report", "largest_n", "mask_measure", "exact_percentiles", "footprint",
+    "manifest_report", "select_gps", "gps_health", "arc_length", "sample_by_distance", "pchip_resample",
+    "repeat_pass_candidates", "bev_grid", "confusion_matrix", "depth_metrics", "batch_summary", "area_report",
 ]
 
 

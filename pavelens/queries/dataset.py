@@ -107,7 +107,7 @@ def best_metrics(spark, sf):
 
 @query("last_n", """SELECT user_id, event_id, array_to_string(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ' ') AS last_value FROM events""")
 def last_n(spark, sf):
-    out = ds.last_n(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 10, chunk=16)
+    out = ds.last_n(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 10)
     return out.select("user_id", "event_id", F.array_join(F.transform("last_value", lambda v: v.cast("string")), " ").alias("last_value"))
 
 

@@ -76,8 +76,7 @@ tot AS (SELECT session_id, count(*) FILTER (WHERE kept) AS k FROM walk GROUP BY
 SELECT w.session_id, w.frame_idx AS seq FROM walk w JOIN tot t USING (session_id) WHERE w.kept OR w.n < 3 OR t.k < 2
 """)
 def drop_speed_outliers(spark, sf):
-    # a short block width so that sessions really are cut into blocks
-    out = telemetry.drop_speed_outliers(_gps(spark, sf), 8.0, width=2000.0)
+    out = telemetry.drop_speed_outliers(_gps(spark, sf), 8.0)
     return out.select("session_id", "seq")
 
 
@@ -156,7 +155,7 @@ FROM num a CROSS JOIN ker JOIN num b ON b.session_id = a.session_id AND b.pos =
 @query("gaussian_smooth_nearest", _smooth_sql("nearest", 3.0))
 def gaussian_smooth_nearest(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", "speed")
-    out = smoothing.gaussian_smooth(f, series("session_id", "frame_idx"), ["speed"], 3.0, "nearest", chunk=32)
+    out = smoothing.gaussian_smooth(f, series("session_id", "frame_idx"), ["speed"], 3.0, "nearest")
     return out.withColumn("speed", rnd("speed"))
 
 
@@ -182,7 +181,7 @@ def _angles(spark, sf):
 @query("unwrap", "WITH " + feeds.FRAMES_SQL + ", " + UNWRAP_SQL + f" SELECT session_id, frame_idx, {r('u')} AS u FROM un")
 def unwrap(spark, sf):
     a = _angles(spark, sf).withColumn("a", F.radians("heading"))
-    return smoothing.unwrap(a, series("session_id", "frame_idx", 500), "a", "u").select("session_id", "frame_idx", rnd("u").alias("u"))
+    return smoothing.unwrap(a, series("session_id", "frame_idx"), "a", "u").select("session_id", "frame_idx", rnd("u").alias("u"))
 
 
 @query("smooth_heading", "WITH " + feeds.FRAMES_SQL + ", " + UNWRAP_SQL + f""", num AS (
@@ -208,8 +207,8 @@ FROM k LEFT JOIN num a ON a.session_id = k.session_id AND a.pos = k.pa LEFT JOIN
 def interpolate_index(spark, sf):
     from ..operators.blocks import scan
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", F.when(F.col("frame_idx") % 4 == 0, F.col("speed")).alias("v"))
-    pos = scan(f, series("session_id", "frame_idx", 1000), number="pos")
-    out = smoothing.interpolate_index(pos, series("session_id", "pos", 20), "pos", ["v"])
+    pos = scan(f, series("session_id", "frame_idx"), number="pos")
+    out = smoothing.interpolate_index(pos, series("session_id", "pos"), "pos", ["v"])
     return out.select("session_id", "frame_idx", rnd("v").alias("v"))
 
 
@@ -252,7 +251,7 @@ SELECT session_id, frame_idx, {r('y + a * s + ((m - a) / h - (a + b - 2 * m) / h
 """)
 def pchip_resample(spark, sf):
     smp, tgt = _res(spark, sf)
-    return resample.pchip_resample(smp, tgt, ["session_id"], "t", ["y"], width=700.0).select(
+    return resample.pchip_resample(smp, tgt, ["session_id"], "t", ["y"]).select(
         "session_id", "frame_idx", rnd("y", 5).alias("y"))
 
 
@@ -265,13 +264,13 @@ SELECT p.session_id, p.frame_idx, {r(f'y + m * {s}')} AS y FROM pick p LEFT JOIN
 @query("linear_resample", _linear_sql(False))
 def linear_resample(spark, sf):
     smp, tgt = _res(spark, sf)
-    return resample.linear_resample(smp, tgt, ["session_id"], "t", ["y"], width=700.0).select("session_id", "frame_idx", rnd("y").alias("y"))
+    return resample.linear_resample(smp, tgt, ["session_id"], "t", ["y"]).select("session_id", "frame_idx", rnd("y").alias("y"))
 
 
 @query("linear_resample_clamp", _linear_sql(True))
 def linear_resample_clamp(spark, sf):
     smp, tgt = _res(spark, sf)
-    return resample.linear_resample(smp, tgt, ["session_id"], "t", ["y"], "clamp", width=700.0).select("session_id", "frame_idx", rnd("y").alias("y"))
+    return resample.linear_resample(smp, tgt, ["session_id"], "t", ["y"], "clamp").select("session_id", "frame_idx", rnd("y").alias("y"))
 
 
 @query("asof_bracket", "WITH " + RES_SQL + """
@@ -279,7 +278,7 @@ SELECT g.session_id, g.frame_idx, (SELECT max(s.t) FROM smp s WHERE s.session_id
        (SELECT min(s.t) FROM smp s WHERE s.session_id = g.session_id AND s.t > g.t) AS next_t FROM tgt g""")
 def asof_bracket(spark, sf):
     smp, tgt = _res(spark, sf)
-    out = resample.asof_bracket(tgt, smp, ["session_id"], "t", ["y"], width=300.0)
+    out = resample.asof_bracket(tgt, smp, ["session_id"], "t", ["y"])
     return out.select("session_id", "frame_idx", F.col("prev.t").alias("prev_t"), F.col("next.t").alias("next_t"))
 
 

@@ -17,7 +17,7 @@ S = lambda width=200_000: series("session_id", "frame_idx", width)
 SELECT session_id, frame_idx, {r(f'sum(coalesce(d, 0)) OVER ({W})', 4)} AS arc_m FROM d""")
 def arc_length(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", "lat", "lon")
-    return tr.arc_length(f, S(1000), geodesic=True).select("session_id", "frame_idx", rnd("arc_m", 4).alias("arc_m"))
+    return tr.arc_length(f, S(), geodesic=True).select("session_id", "frame_idx", rnd("arc_m", 4).alias("arc_m"))
 
 
 @query("local_xy", "WITH " + feeds.FRAMES_SQL + f""", o AS (
@@ -25,7 +25,7 @@ def arc_length(spark, sf):
 SELECT session_id, frame_idx, {r('radians(lon - lo0) * cos(radians(la0)) * 6378137.0', 4)} AS x, {r('radians(lat - la0) * 6378137.0', 4)} AS y FROM o""")
 def local_xy(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", "lat", "lon")
-    return tr.local_xy(f, S(2000)).select("session_id", "frame_idx", rnd("x", 4).alias("x"), rnd("y", 4).alias("y"))
+    return tr.local_xy(f, S()).select("session_id", "frame_idx", rnd("x", 4).alias("x"), rnd("y", 4).alias("y"))
 
 
 @query("baseline_heading", "WITH " + feeds.FRAMES_SQL + f""", p AS (
@@ -60,14 +60,14 @@ f AS (SELECT *, floor(s / 1500.0) AS k, lag(floor(s / 1500.0)) OVER ({W}) AS pk
 SELECT session_id, frame_idx, {r('s', 4)} AS driven_m FROM f WHERE pk IS NULL OR k > pk""")
 def sample_by_distance(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", "time_sec", (F.col("speed") - 1).alias("speed"))
-    return tr.sample_by_distance(f, S(1500), 1500.0).select("session_id", "frame_idx", rnd("driven_m", 4).alias("driven_m"))
+    return tr.sample_by_distance(f, S(), 1500.0).select("session_id", "frame_idx", rnd("driven_m", 4).alias("driven_m"))
 
 
 @query("sample_by_time", f"""SELECT user_id AS session_id, event_id AS frame_idx,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS saved_index FROM events WHERE event_id % 3 = 0""")
 def sample_by_time(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx")
-    return tr.sample_by_time(f, S(1000), "frame_idx", 3).select("session_id", "frame_idx", "saved_index")
+    return tr.sample_by_time(f, S(), "frame_idx", 3).select("session_id", "frame_idx", "saved_index")
 
 
 @query("sample_by_rate", "WITH RECURSIVE " + feeds.FRAMES_SQL + f""", num AS (
@@ -81,7 +81,7 @@ walk AS (
 SELECT session_id, frame_idx, c AS extract_index FROM walk WHERE hit""")
 def sample_by_rate(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx")
-    return tr.sample_by_rate(f, S(1000), "frame_idx", 137.5).select("session_id", "frame_idx", "extract_index")
+    return tr.sample_by_rate(f, S(), "frame_idx", 137.5).select("session_id", "frame_idx", "extract_index")
 
 
 @query("sample_n", "WITH " + feeds.FRAMES_SQL + f""", n AS (
@@ -89,7 +89,7 @@ def sample_by_rate(spark, sf):
 k AS (SELECT *, row_number() OVER ({W}) AS q FROM n WHERE j % greatest(1, n // 20) = 0)
 SELECT session_id, frame_idx FROM k WHERE q <= 20""")
 def sample_n(spark, sf):
-    return tr.sample_n(feeds.frames(spark, sf).select("session_id", "frame_idx"), S(3000), 20)
+    return tr.sample_n(feeds.frames(spark, sf).select("session_id", "frame_idx"), S(), 20)
 
 
 @query("snap_to_gps", "WITH " + feeds.FRAMES_SQL + """
@@ -113,7 +113,7 @@ SELECT session_id, frame_idx, {r('h', 5)} AS heading FROM (
 def photo_heading(spark, sf):
     a = feeds.frames(spark, sf).select(
         "session_id", "frame_idx", (F.col("event_type") != "view").alias("is_photo"), F.col("fix_lat").alias("lat"), F.col("fix_lon").alias("lon"))
-    return tr.photo_heading(a, S(900)).select("session_id", "frame_idx", rnd("heading", 5).alias("heading"))
+    return tr.photo_heading(a, S()).select("session_id", "frame_idx", rnd("heading", 5).alias("heading"))
 
 
 @query("carry_heading", "WITH " + feeds.FRAMES_SQL + f""", p AS (
@@ -122,7 +122,7 @@ def photo_heading(spark, sf):
 o AS (SELECT *, CASE WHEN fix_lat IS NOT NULL AND pla IS NOT NULL THEN {sql_bearing('pla','plo','fix_lat','fix_lon')} END AS own FROM p)
 SELECT session_id, frame_idx, {r(f'coalesce(last_value(own IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0)', 5)} AS heading FROM o""")
 def carry_heading(spark, sf):
-    return carry(feeds.frames(spark, sf), S(700), "fix_lat", "fix_lon").select("session_id", "frame_idx", rnd("heading", 5).alias("heading"))
+    return carry(feeds.frames(spark, sf), S(), "fix_lat", "fix_lon").select("session_id", "frame_idx", rnd("heading", 5).alias("heading"))
 
 
 @query("location_segments", "WITH " + feeds.FRAMES_SQL + f""", p AS (
@@ -131,7 +131,7 @@ def carry_heading(spark, sf):
 SELECT session_id, frame_idx, 'Location ' || CAST(1 + sum(CASE WHEN {sql_hav('pla','plo','fix_lat','fix_lon')} > 50 THEN 1 ELSE 0 END) OVER ({W}) AS BIGINT) AS location FROM p""")
 def location_segments(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", F.col("fix_lat").alias("lat"), F.col("fix_lon").alias("lon"))
-    return tr.location_segments(f, S(800)).select("session_id", "frame_idx", "location")
+    return tr.location_segments(f, S()).select("session_id", "frame_idx", "location")
 
 
 @query("resume_location", f"""

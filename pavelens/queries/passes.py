@@ -163,19 +163,19 @@ def merge_polygons(spark, sf):
 
 # Touching boxes only, so that the union is one part; edges sit on the grid, so cells are exact.
 @query("merge_polygons_touching", """WITH d AS (SELECT o_custkey AS g, o_orderkey AS k, o_orderkey % 5 AS x, o_orderkey % 3 AS y FROM orders),
-c AS (SELECT DISTINCT g, x * 4 + i AS cx, y * 4 + j AS cy FROM d, range(24) a(i), range(24) b(j))
-SELECT g AS group_id, round(count(*) * 0.0625, 4) AS area_sqm FROM c GROUP BY 1""")
+c AS (SELECT DISTINCT g, x + i AS cx, y + j AS cy FROM d, range(6) a(i), range(6) b(j))
+SELECT g AS group_id, count(*)::DOUBLE AS area_sqm FROM c GROUP BY 1""")
 def merge_polygons_touching(spark, sf):
     k = F.col("o_orderkey")
     p = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     x, y = k % 5, k % 3
     d = table(spark, sf, "orders").select(F.col("o_custkey").alias("group_id"), k.alias("det_id"), F.lit(0).alias("frame_idx"),
                                           F.array(p(x, y), p(x + 6, y), p(x + 6, y + 6), p(x, y + 6)).alias("points"))
-    return gp.merge_polygons(d, [], 0.25).select("group_id", F.round("area_sqm", 4).alias("area_sqm"))
+    return gp.merge_polygons(d, [], 1.0).select("group_id", F.round("area_sqm", 4).alias("area_sqm"))
 
 
 @query("merged_outline", """WITH d AS (SELECT o_custkey AS g, o_orderkey AS k, o_orderkey % 5 AS x, o_orderkey % 3 AS y FROM orders),
-c AS (SELECT DISTINCT g, x * 2 + i AS cx, y * 2 + j AS cy FROM d, range(12) a(i), range(12) b(j))
+c AS (SELECT DISTINCT g, x + i AS cx, y + j AS cy FROM d, range(6) a(i), range(6) b(j))
 SELECT g AS group_id, cy AS row, cx AS col FROM c WHERE (SELECT count(*) FROM c n WHERE n.g = c.g AND abs(n.cx - c.cx) + abs(n.cy - c.cy) = 1) < 4""")
 def merged_outline(spark, sf):
     k = F.col("o_orderkey")
@@ -183,7 +183,7 @@ def merged_outline(spark, sf):
     x, y = k % 5, k % 3
     d = table(spark, sf, "orders").select(F.col("o_custkey").alias("group_id"), k.alias("det_id"), F.lit(0).alias("frame_idx"),
                                           F.array(p(x, y), p(x + 6, y), p(x + 6, y + 6), p(x, y + 6)).alias("points"))
-    return gp.merged_outline(d, [], 0.5).select("group_id", "row", "col")
+    return gp.merged_outline(d, [], 1.0).select("group_id", "row", "col")
 
 
 @query("overlapping_defects", """WITH d AS (SELECT o_orderkey AS k, o_custkey % 40 AS scene, (o_orderkey * 13 % 701) * 0.05::DOUBLE AS x, (o_orderkey * 7 % 97) * 0.05::DOUBLE AS y, 0.5::DOUBLE + (o_orderkey % 4) * 0.25::DOUBLE AS w, 0.5::DOUBLE + (o_orderkey % 3) * 0.25::DOUBLE AS h FROM orders),

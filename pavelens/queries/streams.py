@@ -52,7 +52,7 @@ def stream_latest_results(spark, sf):
     return results.run_available(out, _dir(spark, "w5b"), "complete")
 
 
-@query("stream_progress", "WITH a AS (SELECT count(*) AS done, (epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1e3::DOUBLE AS e FROM events) SELECT done, 2000000 - done AS left, round(e, 3) AS elapsed_sec, CAST(ceil((2000000 - done) * (e / done)) AS BIGINT) AS eta_sec FROM a")
+@query("stream_progress", "WITH a AS (SELECT count(*) AS done, (epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) / 1e3::DOUBLE AS e FROM events) SELECT done, 2000000 - done AS left, round(e, 3) AS elapsed_sec, CAST(ceil((2000000 - done) * (e / done)) AS BIGINT) AS eta_sec FROM a")
 def stream_progress(spark, sf):
     out = results.run_available(results.stream_progress(_live(spark, sf), 2_000_000), _dir(spark, "w7"), "complete")
     return out.select("done", F.col("left").cast("long").alias("left"), F.round("elapsed_sec", 3).alias("elapsed_sec"), "eta_sec")

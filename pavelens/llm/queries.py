@@ -32,3 +32,33 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     from .bpe import encode_messages
 
     return encode_messages(messages(spark, sf), vocabulary_path(), digests=True).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from ..session import shared_dir
+    from .tokenfiles import token_checks, write_token_files
+
+    folder = f"{shared_dir(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    files = write_token_files(messages(spark, sf), folder, vocabulary_path(), end_id=2)
+    return token_checks(files).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    base = ["assign", "access", "hex"]
+    found = find_secrets(messages(spark, sf)).drop("redacted")
+
+    def counted(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        F.col("event_id").alias("doc_id"), *[counted(k) for k in base], F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )

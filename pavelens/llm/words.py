@@ -102,6 +102,17 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def runs(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every longest run of member bytes inside one row."""
+    n = len(data)
+    inside = np.zeros(n + 1, bool)
+    inside[:n] = member[data]
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    before = np.concatenate([[False], inside[:-1]])
+    return np.flatnonzero(inside & (~before | edge)), np.flatnonzero(before & (~inside | edge))
+
+
 def split(texts: pa.Array, kind: str) -> Words:
     member, value = KINDS[kind]
     data, off = buffers(texts)

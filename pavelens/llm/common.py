@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from ..session import shared_dir
+from .words import SLICE_BYTES, gathered
+
+JUDGED = "_judged"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -28,3 +34,20 @@ def free(key: str, *taken: str) -> None:
     """The key keeps its name in the result, so it may not be one of the result's own."""
     if key in taken:
         raise ValueError(f"key column {key} has the name of a result column")
+
+
+def judge(rows: DataFrame, text: str, fields: str, fn: Callable[[pa.RecordBatch], list[pa.Array]], limit: int = SLICE_BYTES) -> DataFrame:
+    """``rows`` and a struct column ``_judged`` of ``fields``, which ``fn`` makes of slices of about ``limit`` bytes of ``text``.
+
+    Row by row and without a shuffle, so every column of the caller comes along.
+    """
+    if JUDGED in rows.columns:
+        raise ValueError(f"column {JUDGED} is taken")
+    kind = StructType.fromDDL(fields)
+    schema = StructType([*rows.schema.fields, StructField(JUDGED, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, text, limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fn(batch), kind.names)], schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -62,3 +62,19 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         F.col("event_id").alias("doc_id"), *[counted(k) for k in base], F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined("spans").alias("spans")
     )
+
+
+def label_texts(spark: SparkSession, sf: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    """``documents`` or ``benchmark`` as label texts of images."""
+    return spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).alias("image"), F.col("text").alias("value"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from .decontam import find_leaked_labels
+
+    found = find_leaked_labels(label_texts(spark, sf), label_texts(spark, sf, "benchmark", "item_id"))
+    return found.select(
+        F.col("image").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.col("leaked").alias("contaminated"), "longest", "longest_item", "longest_at",
+    )

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import free, need
-from .words import buffers, gathered, runs
+from .common import JUDGED, free, judge, need
+from .words import buffers, runs
+
+FIELDS = "spans array<struct<kind:string,start:int,end:int>>, redacted string"
 
 # The kinds in the order of their report, their keywords, patterns and lengths.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -98,9 +100,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*parts, text[done:]])
 
 
-def find_secrets(
-    events: DataFrame, key: str = "event_id", message: str = "message", mark: str = "[secret]"
-) -> DataFrame:
+def find_secrets(events: DataFrame, key: str = "event_id", message: str = "message", mark: str = "[secret]") -> DataFrame:
     """Secrets in every whole message.
 
     Returns per row of ``events``: ``key``, ``spans`` (array of kind, start, end in code points, end exclusive, by start, then kind in
@@ -111,24 +111,30 @@ def find_secrets(
     only if it holds. Matches of one kind do not overlap, those of different kinds may.
 
     Rows are judged alone, with no shuffle. Null and empty messages have no spans, and ``redacted`` is null or empty; repeated rows
-    and null keys are kept; an empty table gives none.
+    and null keys are kept; an empty table gives none; further columns are ignored.
     """
     free(key, "spans", "redacted")
-    rows = need(events, key, message)
-    kind = rows.schema[key].dataType.simpleString()
+    return _judged(need(events, key, message), message, mark).select(f"`{key}`", f"{JUDGED}.*")
+
+
+def redact_secrets(events: DataFrame, message: str = "message", mark: str = "[secret]") -> DataFrame:
+    """``events`` with every secret that ``find_secrets`` finds replaced by ``mark``; rows and columns stay."""
+    clean = _judged(events, message, mark)
+    return clean.select(*[F.col(f"{JUDGED}.redacted").alias(c) if c == message else F.col(f"`{c}`") for c in events.columns])
+
+
+def _judged(rows: DataFrame, message: str, mark: str) -> DataFrame:
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, message):
-            spans = spans_in(batch.column(message))
-            texts = batch.column(message)
-            hit = [i for i, s in enumerate(spans) if s]
-            if hit:
-                texts = texts.to_pylist()
-                for i in hit:
-                    texts[i] = redact(texts[i], spans[i], mark)
-                texts = pa.array(texts, pa.string())
-            listed = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(listed, item), texts.cast(pa.string())], [key, "spans", "redacted"])
-
-    return rows.mapInArrow(find, f"`{key}` {kind}, spans array<struct<kind:string,start:int,end:int>>, redacted string")
+    def find(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = batch.column(message)
+        spans = spans_in(texts)
+        hit = [i for i, s in enumerate(spans) if s]
+        if hit:
+            texts = texts.to_pylist()
+            for i in hit:
+                texts[i] = redact(texts[i], spans[i], mark)
+            texts = pa.array(texts, pa.string())
+        return [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in spans], item), texts.cast(pa.string())]
+
+    return judge(rows, message, FIELDS, find)

@@ -78,3 +78,11 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.col("image").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         F.col("leaked").alias("contaminated"), "longest", "longest_item", "longest_at",
     )
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .substrings import remove_repeated_passages
+
+    found = remove_repeated_passages(messages(spark, sf))
+    return found.select(F.col("event_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -86,3 +86,11 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     found = remove_repeated_passages(messages(spark, sf))
     return found.select(F.col("event_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .vectors import near_copy_detections
+
+    given = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("det_id"), F.col("label").alias("class_name"), "embedding")
+    return near_copy_detections(given).withColumnRenamed("det_id", "vec_id")

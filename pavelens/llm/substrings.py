@@ -154,7 +154,7 @@ def remove_repeated_passages(events: DataFrame, key: str = "event_id", message:
                     [batch.column(key).take(pa.array(row[s])), batch.column("_text").take(pa.array(row[s])), pa.array(a[where[s]].view(np.int64)), pa.array((b[where[s]] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(pos[s])], [key, "_text", "_a", "_b", "_pos"]
                 )
 
-    rows = rows.withColumn("_text", F.xxhash64(message).cast("int"))  # tells rows of one key apart
+    rows = rows.withColumn("_text", F.hash(message))  # tells rows of one key apart
     found = rows.where(F.col(f"`{key}`").isNotNull()).mapInArrow(suspects, f"`{key}` {kind}, _text int, _a bigint, _b int, _pos int").withColumnRenamed(key, "_key")
     first = found.groupBy("_a", "_b").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("_a", "_b", "_first")
     # a message's places are as many as its words; equal rows of one key agree on them

@@ -22,10 +22,10 @@ def blocks(members: DataFrame, bucket: list[str], member: str, weight: str | Non
     """
     w = F.sum(weight) if weight else F.lit(0)
     n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
-    sizes = members.groupBy(*bucket).agg(n.alias("_n"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
-    mine = members.join(sizes, bucket).withColumn("_b", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
-    other = mine.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return other.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_n")
+    sizes = members.groupBy(*bucket).agg(n.alias("_nb"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
+    mine = members.join(sizes, bucket).withColumn("_b", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int"))
+    other = mine.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return other.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_nb")
 
 
 def by_group(df: DataFrame, group: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:

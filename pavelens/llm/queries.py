@@ -94,3 +94,10 @@ def op6_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     given = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("det_id"), F.col("label").alias("class_name"), "embedding")
     return near_copy_detections(given).withColumnRenamed("det_id", "vec_id")
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    from .jaccard import alike_labels
+
+    return alike_labels(label_texts(spark, sf)).withColumnRenamed("image", "doc_id")

@@ -101,3 +101,50 @@ def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from .jaccard import alike_labels
 
     return alike_labels(label_texts(spark, sf)).withColumnRenamed("image", "doc_id")
+
+
+#: Host, path and verdict of the rules that come before the reputation.
+ADDRESS_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query
+def op3_urls(spark: SparkSession, sf: str) -> DataFrame:
+    from .urls import Rule, screen_media_addresses
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("frame_id"), F.col("url").alias("image_path"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    # a page's address names the document it shows; its outcome is that document's label
+    shown = pages.select("frame_id", F.regexp_extract("image_path", r"/([0-9]{1,18})", 1).alias("_n")).where("_n <> ''")
+    outcomes = shown.join(labels, F.col("_n").cast("long") == labels["doc_id"]).select("frame_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    found = screen_media_addresses(pages, outcomes, [Rule(*r) for r in ADDRESS_RULES])
+    return found.select(F.col("frame_id").alias("page_id"), "host", "path", "rule", "verdict", F.round("bad_mean", 6).alias("bad_mean"))
+
+
+def fold(key: str, of: int, out: int):
+    """Whether a row is held out: the remainder of the CRC-32 of its id as text."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of == out
+
+
+@query
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    events = messages(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~fold("doc_id", 4, 2)).select(F.col("doc_id").alias("event_id"), "quality")
+    scored = score_quality(events, fit_quality(events, labels))
+    return scored.select(F.col("event_id").alias("doc_id"), fold("event_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark: SparkSession, sf: str):
+    from .toxicity import fit_toxicity
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~fold("doc_id", 5, 0)).select(F.col("doc_id").alias("event_id"), "toxic")
+    return fit_toxicity(messages(spark, sf), labels)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    scored = score_toxicity(messages(spark, sf), toxicity_model(spark, sf))
+    return scored.select(F.col("event_id").alias("doc_id"), fold("event_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -202,9 +202,9 @@ def windows(words: Words, size: int, seed: int = 0, short: bool = False) -> tupl
 
 def _run(h: np.ndarray, base: int) -> np.uint64:
     acc = np.zeros(1, np.uint64)
-    for i, x in enumerate(h):
-        acc += x * np.uint64(pow(base, i, 1 << 64))
-    return mix(acc + np.uint64(len(h)) * _MULT)[0]
+    for i in range(len(h)):
+        acc += h[i : i + 1] * np.uint64(pow(base, i, 1 << 64))
+    return mix(acc + np.array([len(h)], np.uint64) * _MULT)[0]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -65,8 +65,12 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct word, number of the distinct word at each place)."""
     if not len(words.hash):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, at, code = np.unique(words.hash, return_index=True, return_inverse=True)
-    return at, code
+    _, at, code, count = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
+    # frequent words get small numbers, which pack well
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return at[order], rank[code]
 
 
 def texts_at(words: Words, at: np.ndarray) -> pa.Array:

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free, need
-from .words import Words, gathered, ragged, split, windows
+from .words import Words, gathered, mix, ragged, split, windows
 
 WINDOW = 13
 #: Words of the anchors that stand for windows in the sketch.
@@ -68,18 +69,36 @@ def _ranges(sorted_: np.ndarray):
     return value, lo, np.append(lo[1:], len(sorted_))
 
 
-def repeated_cells(messages: DataFrame, message: str, cells: int = CELLS) -> np.ndarray:
-    """One bit per cell of the merged sketch: whether its count is above one.
-
-    Every slice of every partition makes a sketch; blocks of cells of all sketches meet and are added up by Spark, and only the bits, whose number is
-    ``cells``, come to the driver.
-    """
+def repeated_cells(messages: DataFrame, message: str, firsts: Broadcast, cells: int = CELLS) -> np.ndarray:
+    """One bit per cell of the merged sketch of ``messages``: whether its count is above one. Copies that ``firsts`` rules out do not count."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, message, SLICE):
+        for batch in gathered(_first_copies(batches, firsts.value), message, SLICE):
             _, _, h = anchors(split(batch.column(message), "visible"))
-            parts = list(_part_sketch(np.concatenate(_cells(h, cells))))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["block", "part"])
+            yield _parts(np.concatenate(_cells(h, cells)))
+
+    return merged_bits(messages.mapInArrow(sketch, "block int, part binary"), cells)
+
+
+def first_copies(named: DataFrame, cells: int) -> np.ndarray:
+    """A Bloom filter of (text, key) of the first copy of every text, of two bits each: what it does not hold is a later copy."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(np.concatenate(_cells(mix(batch.column("_copy").to_numpy().view(np.uint64)), cells)))
+            yield _parts(np.repeat(h, 2))
+
+    first = named.groupBy("_name", "_text").agg(F.min("_key").alias("_key")).select(F.xxhash64("_name", "_text", "_key").alias("_copy"))
+    return merged_bits(first.mapInArrow(mark, "block int, part binary"), cells)
+
+
+def _first_copies(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(held(mix(batch.column("_copy").to_numpy().view(np.uint64)), bits)))
+
+
+def merged_bits(parts: DataFrame, cells: int) -> np.ndarray:
+    """Adds up part sketches block by block on Spark; only one bit per cell, whether its count is above one, comes to the driver."""
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -96,7 +115,6 @@ def repeated_cells(messages: DataFrame, message: str, cells: int = CELLS) -> np.
         if done is not None:
             yield _bits(done, counts.pop(done))
 
-    parts = messages.mapInArrow(sketch, "block int, part binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary").toArrow()
     out = np.zeros(cells // 8, np.uint8)
     for b, bits in zip(merged.column("block").to_pylist(), merged.column("bits").to_pylist()):
@@ -105,12 +123,17 @@ def repeated_cells(messages: DataFrame, message: str, cells: int = CELLS) -> np.
     return out
 
 
+def _parts(cells: np.ndarray) -> pa.RecordBatch:
+    parts = list(_part_sketch(cells))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["block", "part"])
+
+
 def _bits(block: int, count: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
 
-def estimated_repeated(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether the sketch's estimate, the smaller of the two rows, is above one. Never false for what occurs twice."""
+def held(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bits of both rows are set: the sketch's estimate, the smaller of two, is above one. Never false for what occurs twice."""
     yes = np.ones(len(h), bool)
     for cell in _cells(h, len(bits) * 8):
         yes &= (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -124,7 +147,8 @@ def remove_repeated_passages(events: DataFrame, key: str = "event_id", message:
     in a message with a smaller key; windows are judged on the input. Returns per row of ``events``: ``key``, ``n_words``, ``n_removed``
     (long) and ``kept`` (the other words joined by one space).
 
-    How: partition sketches of anchors, five-word runs that stand for windows, are added up to a count-min sketch that never
+    How: exact copies of a whole message are found by its hash; a fixed-size filter of the first copies keeps later ones, which lose all their
+    words, out of the rest. Partition sketches of anchors, five-word runs that stand for windows, are added up to a count-min sketch that never
     underestimates a window; windows estimated at two or more are grouped exactly by 96 bits of hash: smallest and largest key per
     window (combined before the shuffle, so a passage of a third of all rows is cheap), then a join back to its places, which may be split. The sketch
     has a fixed size: with far more input than cells it lets more windows through, and the groups stay exact.
@@ -133,45 +157,66 @@ def remove_repeated_passages(events: DataFrame, key: str = "event_id", message:
     none elsewhere. Repeated rows with one key do not remove each other. An empty table gives none; further columns are ignored.
     """
     free(key, "n_words", "n_removed", "kept")
-    rows = need(events, key, message)
+    rows = need(events, key, message).withColumn("_text", F.hash(message))  # tells rows of one key apart
     kind = rows.schema[key].dataType.simpleString()
-    bits = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows.select(f"`{message}`"), message, cells))
+    context = rows.sparkSession.sparkContext
+    own = F.col(f"`{key}`")
+    keyed = rows.where(own.isNotNull() & F.col(f"`{message}`").isNotNull()).withColumn("_name", F.xxhash64(message))
+    named = keyed.select(own.alias("_key"), "_name", "_text")
+    firsts = context.broadcast(first_copies(named, max(1 << 16, cells >> 3)))
+    marked = keyed.select(own.alias("_key"), "_text", F.col(f"`{message}`").alias("_message"), F.xxhash64("_name", "_text", own).alias("_copy"))
+    bits = context.broadcast(repeated_cells(marked.select("_message", "_copy"), "_message", firsts, cells))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, message, SLICE):
-            words = split(batch.column(message), "visible")
+        for batch in gathered(_first_copies(batches, firsts.value), "_message", SLICE):
+            words = split(batch.column("_message"), "visible")
             start, number, h = anchors(words)
-            open_ = estimated_repeated(h, bits.value)[number]
-            start = start[open_]
+            start = start[held(h, bits.value)[number]]
             a, at = windows(words, WINDOW, seed=0)
             b, _ = windows(words, WINDOW, seed=1)
             where = np.searchsorted(at, start)
+            # a window that a message repeats inside goes once
+            _, once = np.unique(a[where] ^ mix(words.row[start].astype(np.uint64)), return_index=True)
+            start, where = start[once], where[once]
             row = words.row[start]
             pos = (start - words.first[row]).astype(np.int32)
             for lo in range(0, len(start), 50_000):
                 s = slice(lo, lo + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).take(pa.array(row[s])), batch.column("_text").take(pa.array(row[s])), pa.array(a[where[s]].view(np.int64)), pa.array((b[where[s]] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(pos[s])], [key, "_text", "_a", "_b", "_pos"]
+                    [batch.column("_key").take(pa.array(row[s])), batch.column("_text").take(pa.array(row[s])), pa.array(a[where[s]].view(np.int64)), pa.array((b[where[s]] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(pos[s])],
+                    ["_key", "_text", "_a", "_b", "_pos"],
                 )
 
-    rows = rows.withColumn("_text", F.hash(message))  # tells rows of one key apart
-    found = rows.where(F.col(f"`{key}`").isNotNull()).mapInArrow(suspects, f"`{key}` {kind}, _text int, _a bigint, _b int, _pos int").withColumnRenamed(key, "_key")
+    found = marked.mapInArrow(suspects, f"_key {kind}, _text int, _a bigint, _b int, _pos int")
     first = found.groupBy("_a", "_b").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("_a", "_b", "_first")
+    later = found.join(first, ["_a", "_b"]).where("_key > _first").select("_key", "_text", "_pos")
+    # all of a later copy goes: place -1
+    least = named.groupBy("_name", "_text").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").drop("_last")
+    copies = named.join(least, ["_name", "_text"]).where("_key > _first").select("_key", "_text", F.lit(-1).alias("_pos"))
     # a message's places are as many as its words; equal rows of one key agree on them
-    later = found.join(first, ["_a", "_b"]).where("_key > _first").groupBy("_key", F.col("_text").alias("_of")).agg(F.collect_set("_pos").alias("_at"))
-    cover = rows.join(later, (F.col(f"`{key}`") == F.col("_key")) & (F.col("_text") == F.col("_of")), "left").select(f"`{key}`", f"`{message}`", "_at")
+    places = later.unionByName(copies).groupBy("_key", F.col("_text").alias("_of")).agg(F.collect_set("_pos").alias("_at"))
+    cover = rows.join(places, (own == F.col("_key")) & (F.col("_text") == F.col("_of")), "left").select(own, f"`{message}`", "_at")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, message, SLICE):
             words = split(batch.column(message), "visible")
             lists = batch.column("_at")
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False))
-            place = words.first[row] + lists.flatten().to_numpy()
-            ok = place + WINDOW <= words.first[1:][row]
+            place = lists.flatten().to_numpy()
+            a, at = windows(words, WINDOW, seed=0)
+            a ^= mix(words.row[at].astype(np.uint64))
+            spot = np.searchsorted(at, words.first[row] + place)
+            ok = (place >= 0) & (words.first[row] + place + WINDOW <= words.first[1:][row])
+            touched = np.zeros(batch.num_rows, bool)
+            touched[row[ok]] = True
+            some = np.flatnonzero(touched[words.row[at]])
+            gone_at = at[some[np.isin(a[some], a[spot[ok]])]]
+            whole = np.zeros(batch.num_rows, bool)
+            whole[row[place < 0]] = True
             edge = np.zeros(len(words.hash) + 1, np.int64)
-            np.add.at(edge, place[ok], 1)
-            np.add.at(edge, place[ok] + WINDOW, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            np.add.at(edge, gone_at, 1)
+            np.add.at(edge, gone_at + WINDOW, -1)
+            gone = (np.cumsum(edge[:-1]) > 0) | (whole & (words.counts >= WINDOW))[words.row]
             total = np.concatenate([[0], np.cumsum(gone)])
             removed = total[words.first[1:]] - total[words.first[:-1]]
             yield pa.RecordBatch.from_arrays(

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -50,24 +52,55 @@ def pieces(path: str) -> list[bytes]:
 
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words in a row, ids per word)."""
-    ids: list[int] = []
-    lengths = np.empty(len(words), np.int64)
-    tok = tokenizer(path)
-    for lo in range(0, len(words), WORDS_A_CALL):
-        for i, e in enumerate(tok.encode_batch_fast(words[lo : lo + WORDS_A_CALL], add_special_tokens=False), lo):
-            one = e.ids
-            ids += one
-            lengths[i] = len(one)
-    return np.array(ids, np.uint32), lengths
+    ends = _ending(path)
+    letters = [i for i, w in enumerate(words) if _LETTERS(w)] if ends.any() else []
+    plain = np.zeros(len(words), bool)
+    plain[letters] = True
+    start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    found: list[np.ndarray] = []
+    held = 0
+    for lo in range(0, len(letters), WORDS_A_CALL):
+        part = letters[lo : lo + WORDS_A_CALL]
+        # a word of letters alone is one piece of text to the tokenizer, and its last token alone ends a word
+        ids = np.array(tokenizer(path).encode(" ".join([words[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) != len(part):
+            plain[part] = False
+            continue
+        length[part] = np.diff(cut, prepend=0)
+        start[part] = held + cut - length[part]
+        found.append(ids)
+        held += len(ids)
+    rest = np.flatnonzero(~plain).tolist()
+    for lo in range(0, len(rest), WORDS_A_CALL):
+        part = rest[lo : lo + WORDS_A_CALL]
+        ids_ = [e.ids for e in tokenizer(path).encode_batch_fast([words[i] for i in part], add_special_tokens=False)]
+        length[part] = [len(x) for x in ids_]
+        start[part] = held + np.cumsum(length[part]) - length[part]
+        found.append(np.array([i for x in ids_ for i in x], np.uint32))
+        held += len(found[-1])
+    every = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    return every[ragged(start, length)], length
+
+
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+@lru_cache(maxsize=2)
+def _ending(path: str) -> np.ndarray:
+    """Which ids end a word, if the tokenizer marks word ends."""
+    return np.array([p.endswith(b"</w>") for p in pieces(path)])
 
 
 def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct word, number of the distinct word at each place)."""
     if not len(words.hash):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, at, code, count = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
+    code, _ = pd.factorize(words.hash)  # numbered as they come
+    most = np.maximum.accumulate(code)
+    at = np.flatnonzero(np.diff(most, prepend=-1))
     # frequent words get small numbers, which pack well
-    order = np.argsort(-count, kind="stable")
+    order = np.argsort(-np.bincount(code), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return at[order], rank[code]

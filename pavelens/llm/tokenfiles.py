@@ -79,7 +79,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _KNOWN.setdefault(vocabulary, KnownWords())
         seq = 0
-        for batch in gathered(batches, message, SLICE_BYTES // 2):
+        for batch in gathered(batches, message, SLICE_BYTES * 3 // 4):
             words = split(batch.column(message), "chunk")
             ids, per_word = known.encode(words, vocabulary)
             ends = np.concatenate([[0], np.cumsum(per_word)])[words.first[1:]]  # ids up to the end of each row

@@ -163,7 +163,7 @@ def _stops_apart(data: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> np.n
 def _hash(data: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Keyed polynomial of each byte range, freed of its place by the inverse power; then mixed with the length."""
     out = np.empty(len(start), np.uint64)
-    block = 1 << 22  # words, so that temporaries stay small
+    block = 1 << 18  # bytes, so that temporaries and powers stay small
     lo = 0
     while lo < len(start):
         hi = min(len(start), max(lo + 1, int(np.searchsorted(start, start[lo] + block))))

@@ -17,7 +17,7 @@ from .words import Words, gathered, mix, ragged, split, windows
 WINDOW = 13
 #: Words of the anchors that stand for windows in the sketch.
 ANCHOR = 5
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Cells of the merged sketch, half for each of its two rows: one bit a cell, 64 MB, goes to the tasks, whatever the input.
 CELLS = 1 << 29
 _BLOCK = 1 << 20

@@ -19,7 +19,7 @@ from .words import gathered, mix, ragged, split, windows
 
 SHINGLE = 5
 #: Shingles of a text, those of smallest hash, that paths are chosen from.
-SKETCH = 128
+SKETCH = 64
 #: Tokens chosen at each step of a path.
 CHOICES = 3
 #: Members of a bucket that is compared as it is.
@@ -86,27 +86,35 @@ def _choose(sets: list[np.ndarray], seeds: np.ndarray, choices: int) -> tuple[np
     return row[take], mix(h[take] + np.uint64(0x5851F42D4C957F2D))
 
 
-def split_buckets(members: DataFrame, choices: int) -> DataFrame:
-    """One step of the path: (_class, _sketch, _from) to (_class, _path, _from), as many rows as tokens are chosen."""
+def split_buckets(members: DataFrame, choices: int, least: float | None = None) -> DataFrame:
+    """One step of the path: (_class, _n, _sketch, _from) to (_class, _path, _from), as many rows as tokens are chosen.
+
+    With ``least``, the path also takes the set's size, in steps of that ratio; a set goes to its own step and the next, so alike sets still meet and
+    sets of quite different sizes do not.
+    """
     kind = members.schema["_class"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(b, np.uint64) for b in batch.column("_sketch").to_pylist()]
             row, path = _choose(sets, batch.column("_from").to_numpy().view(np.uint64), choices)
+            if least:
+                step_of = np.floor(np.log(batch.column("_n").to_numpy()) / -np.log(least) + 1e-9).astype(np.uint64)[row]
+                path = np.concatenate([mix(path + step_of * np.uint64(2)), mix(path + (step_of + np.uint64(1)) * np.uint64(2))])
+                row = np.concatenate([row, row])
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("_class").take(at), pa.array(path.view(np.int64)), batch.column("_from").take(at)], ["_class", "_path", "_from"])
 
-    return members.select("_class", "_sketch", "_from").mapInArrow(step, f"_class {kind}, _path bigint, _from bigint")
+    return members.select("_class", "_n", "_sketch", "_from").mapInArrow(step, f"_class {kind}, _path bigint, _from bigint")
 
 
-def leaf_buckets(classes: DataFrame, runs: int, choices: int, depth: int, small: int, dense: float) -> DataFrame:
+def leaf_buckets(classes: DataFrame, least: float, runs: int, choices: int, depth: int, small: int, dense: float) -> DataFrame:
     """(_class, _leaf): the buckets in which each class is compared. Sketches go along only into buckets that are split."""
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
-    now = classes.select("_class", "_sketch", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("_from"))
+    now = classes.select("_class", "_n", "_sketch", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("_from"))
     leaves, parent = None, None
     for level in range(1, depth + 1):
-        parts = stage(split_buckets(now, choices), "paths")
+        parts = stage(split_buckets(now, choices, least if level == 1 and least < 1 else None), "paths")
         sizes = parts.groupBy("_path", "_from").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
         big = (F.col("_m") > small) & F.lit(level < depth)
         if parent is not None:  # a part that keeps most of its bucket holds alike texts
@@ -119,7 +127,7 @@ def leaf_buckets(classes: DataFrame, runs: int, choices: int, depth: int, small:
         parent = sizes.where("_big").select(F.col("_path").alias("_from"), F.col("_m").alias("_of"))
         if level == depth or parent.isEmpty():
             break
-        now = kept.where("_big").select("_class", F.col("_path").alias("_from")).join(classes.select("_class", "_sketch"), "_class")
+        now = kept.where("_big").select("_class", F.col("_path").alias("_from")).join(classes, "_class")
     leaves = stage(leaves.distinct(), "leaves")
     # buckets with the same members are compared once
     h = [F.xxhash64("_class", F.lit(i)).cast("decimal(20,0)") for i in (1, 2)]
@@ -215,13 +223,19 @@ def alike_labels(
     # texts with one shingle set are one class, named by its smallest image; sets do not travel here
     named = made.groupBy("_name").agg(F.min(own).alias("_class"), F.count_distinct(own).alias("_copies"))
     named = stage(named, "classes")
-    sketches = made.join(named, (made["_name"] == named["_name"]) & (own == F.col("_class"))).select("_class", "_sketch").dropDuplicates(["_class"])
+    sketches = made.join(named, (made["_name"] == named["_name"]) & (own == F.col("_class"))).select("_class", "_n", "_sketch").dropDuplicates(["_class"])
     runs = runs_needed(least, choices, depth, recall)
-    leaves = leaf_buckets(stage(sketches, "sketches"), runs, choices, depth, small, dense)
-    per_class = leaves.groupBy("_class").agg(F.sort_array(F.collect_list("_leaf")).alias("_leaves"))  # at most runs * choices ** depth
+    sketches = stage(sketches, "sketches")
+    leaves = leaf_buckets(sketches, least, runs, choices, depth, small, dense)
+    sized = leaves.join(sketches.select("_class", "_n"), "_class")
+    # who meets whom is settled on narrow rows; sets travel once to their class and once to its blocks
+    place = F.struct("_leaf", "_i", "_j", "_b")
+    placed = blocks(sized, ["_leaf"], "_class", "_n")
+    per_class = placed.groupBy("_class").agg(F.sort_array(F.collect_set("_leaf")).alias("_leaves"), F.collect_list(place).alias("_places"))
     holders = stage(per_class.join(named.select("_class", "_copies"), "_class"), "holders")
-    sets = made.select(own.alias("_class"), "_n", "_set").join(holders, "_class").dropDuplicates(["_class"])
-    members = sets.withColumn("_leaf", F.explode("_leaves"))
+    # by a shuffle at every size: a class has some leaves, so the holders grow with the input
+    sets = made.select(own.alias("_class"), "_set").join(holders.hint("merge"), "_class").dropDuplicates(["_class"])
+    members = sets.select("_class", "_copies", "_set", "_leaves", F.explode("_places").alias("_p")).select("_class", "_copies", "_set", "_leaves", "_p.*")
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
         weight, links, a, b = verify(table, least)
@@ -232,8 +246,7 @@ def alike_labels(
         ids = table.column("_class").combine_chunks()
         return pa.RecordBatch.from_arrays([ids.take(pa.array(on)), pa.array(weight[on]), ids.take(pa.array(root[on]))], ["_class", "_weight", "_root"])
 
-    placed = blocks(members, ["_leaf"], "_class", "_n")
-    found = stage(by_group(placed, ["_leaf", "_i", "_j"], compare, f"_class {kind}, _weight bigint, _root {kind}"), "links")
+    found = stage(by_group(members, ["_leaf", "_i", "_j"], compare, f"_class {kind}, _weight bigint, _root {kind}"), "links")
     counts = found.groupBy("_class").agg(F.sum("_weight").alias("_weight"))
     reach = connected_components(found.select(F.col("_class").alias("u"), F.col("_root").alias("v"))).withColumnRenamed("node", "_class")
     linked = named.join(counts.join(reach, "_class"), "_class", "left").select("_name", "_class", "_copies", "_weight", "component")

@@ -116,7 +116,8 @@ def leaf_buckets(classes: DataFrame, least: float, runs: int, choices: int, dept
     for level in range(1, depth + 1):
         parts = stage(split_buckets(now, choices, least if level == 1 and least < 1 else None), "paths")
         sizes = parts.groupBy("_path", "_from").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-        big = (F.col("_m") > small) & F.lit(level < depth)
+        # one shared token may be chance, so every first bucket is split once
+        big = ((F.col("_m") > small) | F.lit(level == 1)) & F.lit(level < depth)
         if parent is not None:  # a part that keeps most of its bucket holds alike texts
             sizes = sizes.join(parent, "_from")
             big &= F.col("_m") < dense * F.col("_of")

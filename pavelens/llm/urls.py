@@ -55,13 +55,15 @@ def levels(host: Column) -> tuple[Column, Column]:
 def _shrunk(counts: DataFrame, child: str, parent: DataFrame | None, up: str | None, prior: float) -> DataFrame:
     """(child, _mean, _weight): mean of bad outcomes of each child, shrunk towards its parent's by a strength from the spread of the children.
 
-    The strength is the beta-binomial moment estimate over all children of the level: few outcomes or much spread give a weak prior.
+    A child's prior is its parent's posterior without the child's own outcomes. The strength is the beta-binomial moment estimate over all children of the level: few outcomes or much spread give a weak prior.
     """
     if parent is None:
         base = counts.agg(((F.sum("_bad") + 0.5) / (F.sum("_all") + 1.0)).alias("_prior"))
         joined = counts.join(F.broadcast(base))  # one row
     else:
-        joined = counts.join(parent.select(F.col(parent.columns[0]).alias(up), F.col("_mean").alias("_prior")), up)
+        given = parent.select(F.col(parent.columns[0]).alias(up), (F.col("_mean") * F.col("_weight")).alias("_a"), F.col("_weight").alias("_n"))
+        # a child's own outcomes are no evidence for its prior
+        joined = counts.join(given, up).withColumn("_prior", (F.col("_a") - F.col("_bad")) / (F.col("_n") - F.col("_all")))
     share = F.col("_bad") / F.col("_all")
     expected = F.col("_prior") * (1 - F.col("_prior"))
     # E[(share - prior)^2] = p(1-p) (1/n + (1 - 1/n) rho) and strength = 1/rho - 1

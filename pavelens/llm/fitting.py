@@ -36,4 +36,5 @@ def fit_on_sample(
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # keys and texts of the bounded sample alone meet in this one task
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], np.zeros(0, np.int64), 0.0)

@@ -29,6 +29,8 @@ DEPTH = 4
 #: A bucket whose largest part keeps this share of it holds alike texts: it is compared in blocks and not split further.
 DENSE = 0.5
 RECALL = 0.999
+#: Sets that one step of ``split_buckets`` holds at a time.
+STEP_ROWS = 20_000
 
 
 def runs_needed(least: float, choices: int, depth: int, recall: float) -> int:
@@ -48,9 +50,10 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def shingle_sets(rows: DataFrame, image: str, value: str) -> DataFrame:
+def shingle_sets(rows: DataFrame, image: str, value: str, runs: int, choices: int, least: float) -> DataFrame:
     """Per row with words: ``image``; ``_name``, 128 bits of its shingle set; ``_n``, the set's size; ``_sketch``, its SKETCH shingles of
-    smallest hash; ``_set``, all shingles as packed 32-bit numbers. With 10,000 shingles, 32 bits add 0.02 false common ones on average."""
+    smallest hash; ``_paths``, its first buckets; ``_set``, all shingles as packed 32-bit numbers. With 10,000 shingles, 32 bits add 0.02 false common
+    ones on average."""
     kind = rows.schema[image].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,18 +63,22 @@ def shingle_sets(rows: DataFrame, image: str, value: str) -> DataFrame:
             cuts = np.searchsorted(words.row[at], np.arange(batch.num_rows + 1)).tolist()
             have = [i for i in range(batch.num_rows) if cuts[i] < cuts[i + 1]]
             out: list[list] = [[], [], [], []]
+            sketches = []
             for i in have:
                 s = np.unique(h[cuts[i] : cuts[i + 1]])
+                sketches.append(s[:SKETCH])  # hashes are evenly spread, so the smallest are a fair draw
                 out[0].append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                 out[1].append(len(s))
-                out[2].append(s[:SKETCH].tobytes())  # hashes are evenly spread, so the smallest are a fair draw
+                out[2].append(sketches[-1].tobytes())
                 out[3].append(pack(np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32))))
+            row, path = first_buckets(sketches, np.array(out[1], np.int64), runs, choices, least)
+            firsts = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(have) + 1)), pa.int32()), pa.array(path.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(image).take(pa.array(have, pa.int64())), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
-                [image, "_name", "_n", "_sketch", "_set"],
+                [batch.column(image).take(pa.array(have, pa.int64())), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), firsts, pa.array(out[3], pa.binary())],
+                [image, "_name", "_n", "_sketch", "_paths", "_set"],
             )
 
-    return rows.mapInArrow(make, f"`{image}` {kind}, _name string, _n int, _sketch binary, _set binary")
+    return rows.mapInArrow(make, f"`{image}` {kind}, _name string, _n int, _sketch binary, _paths array<bigint>, _set binary")
 
 
 def _choose(sets: list[np.ndarray], seeds: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,35 +93,50 @@ def _choose(sets: list[np.ndarray], seeds: np.ndarray, choices: int) -> tuple[np
     return row[take], mix(h[take] + np.uint64(0x5851F42D4C957F2D))
 
 
-def split_buckets(members: DataFrame, choices: int, least: float | None = None) -> DataFrame:
-    """One step of the path: (_class, _n, _sketch, _from) to (_class, _path, _from), as many rows as tokens are chosen.
+def first_buckets(sets: list[np.ndarray], sizes: np.ndarray, runs: int, choices: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of the first step of all runs, by row.
 
-    With ``least``, the path also takes the set's size, in steps of that ratio; a set goes to its own step and the next, so alike sets still meet and
-    sets of quite different sizes do not.
+    The path also takes the set's size, in steps of ratio ``least``; a set goes to its own step and the next, so alike sets still meet and sets of quite
+    different sizes do not.
     """
+    seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    got = [_choose(sets, np.full(len(sets), seed), choices) for seed in seeds]
+    row, path = (np.concatenate(c) for c in zip(*got))
+    if least < 1:
+        step_of = np.floor(np.log(sizes) / -np.log(least) + 1e-9).astype(np.uint64)[row]
+        path = np.concatenate([mix(path + step_of * np.uint64(2)), mix(path + (step_of + np.uint64(1)) * np.uint64(2))])
+        row = np.concatenate([row, row])
+    order = np.argsort(row, kind="stable")
+    return row[order], path[order]
+
+
+def split_buckets(members: DataFrame, choices: int) -> DataFrame:
+    """A further step of the path: (_class, _froms, _sketch) to (_class, _path, _from), as many rows as tokens are chosen."""
     kind = members.schema["_class"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(b, np.uint64) for b in batch.column("_sketch").to_pylist()]
-            row, path = _choose(sets, batch.column("_from").to_numpy().view(np.uint64), choices)
-            if least:
-                step_of = np.floor(np.log(batch.column("_n").to_numpy()) / -np.log(least) + 1e-9).astype(np.uint64)[row]
-                path = np.concatenate([mix(path + step_of * np.uint64(2)), mix(path + (step_of + np.uint64(1)) * np.uint64(2))])
-                row = np.concatenate([row, row])
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("_class").take(at), pa.array(path.view(np.int64)), batch.column("_from").take(at)], ["_class", "_path", "_from"])
+            lists = batch.column("_froms")
+            seeds = lists.flatten().to_numpy().view(np.uint64)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            for lo in range(0, len(owner), STEP_ROWS):
+                mine, seed = owner[lo : lo + STEP_ROWS], seeds[lo : lo + STEP_ROWS]
+                row, path = _choose([sets[i] for i in mine.tolist()], seed, choices)
+                yield pa.RecordBatch.from_arrays([batch.column("_class").take(pa.array(mine[row])), pa.array(path.view(np.int64)), pa.array(seed[row].view(np.int64))], ["_class", "_path", "_from"])
 
-    return members.select("_class", "_n", "_sketch", "_from").mapInArrow(step, f"_class {kind}, _path bigint, _from bigint")
+    return members.select("_class", "_froms", "_sketch").mapInArrow(step, f"_class {kind}, _path bigint, _from bigint")
 
 
-def leaf_buckets(classes: DataFrame, least: float, runs: int, choices: int, depth: int, small: int, dense: float) -> DataFrame:
-    """(_class, _leaf): the buckets in which each class is compared. Sketches go along only into buckets that are split."""
-    seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
-    now = classes.select("_class", "_n", "_sketch", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("_from"))
+def leaf_buckets(firsts: DataFrame, sketches: DataFrame, choices: int, depth: int, small: int, dense: float) -> DataFrame:
+    """(_class, _leaf): the buckets in which each class is compared. ``firsts`` has (_class, _paths), ``sketches`` (_class, _sketch) of at least those.
+
+    Sketches go along only with classes that share a bucket, once per class and step. Both sides of those joins grow with the input, so
+    they are merged at every size.
+    """
+    parts = firsts.select("_class", F.explode("_paths").alias("_path"), F.lit(0).cast("bigint").alias("_from"))
     leaves, parent = None, None
     for level in range(1, depth + 1):
-        parts = stage(split_buckets(now, choices, least if level == 1 and least < 1 else None), "paths")
         sizes = parts.groupBy("_path", "_from").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
         # one shared token may be chance, so every first bucket is split once
         big = ((F.col("_m") > small) | F.lit(level == 1)) & F.lit(level < depth)
@@ -122,13 +144,16 @@ def leaf_buckets(classes: DataFrame, least: float, runs: int, choices: int, dept
             sizes = sizes.join(parent, "_from")
             big &= F.col("_m") < dense * F.col("_of")
         sizes = stage(sizes.select("_path", "_m", big.alias("_big")), "sizes")
-        kept = parts.join(sizes, "_path")
+        kept = parts.join(sizes.hint("merge"), "_path")
         found = kept.where("not _big").select("_class", F.col("_path").alias("_leaf"))
         leaves = found if leaves is None else leaves.unionByName(found)
         parent = sizes.where("_big").select(F.col("_path").alias("_from"), F.col("_m").alias("_of"))
         if level == depth or parent.isEmpty():
             break
-        now = kept.where("_big").select("_class", F.col("_path").alias("_from")).join(classes, "_class")
+        onward = kept.where("_big").groupBy("_class").agg(F.collect_list("_path").alias("_froms"))
+        sketches = stage(sketches.join(onward.hint("merge"), "_class").dropDuplicates(["_class"]), "onward")
+        parts = stage(split_buckets(sketches, choices), "paths")
+        sketches = sketches.drop("_froms")
     leaves = stage(leaves.distinct(), "leaves")
     # buckets with the same members are compared once
     h = [F.xxhash64("_class", F.lit(i)).cast("decimal(20,0)") for i in (1, 2)]
@@ -220,15 +245,15 @@ def alike_labels(
     rows = need(labels, image, value)
     kind = rows.schema[image].dataType.simpleString()
     own = F.col(f"`{image}`")
-    made = stage(shingle_sets(rows.where(own.isNotNull()), image, value), "shingles")
+    runs = runs_needed(least, choices, depth, recall)
+    made = stage(shingle_sets(rows.where(own.isNotNull()), image, value, runs, choices, least), "shingles")
     # texts with one shingle set are one class, named by its smallest image; sets do not travel here
     named = made.groupBy("_name").agg(F.min(own).alias("_class"), F.count_distinct(own).alias("_copies"))
     named = stage(named, "classes")
-    sketches = made.join(named, (made["_name"] == named["_name"]) & (own == F.col("_class"))).select("_class", "_n", "_sketch").dropDuplicates(["_class"])
-    runs = runs_needed(least, choices, depth, recall)
-    sketches = stage(sketches, "sketches")
-    leaves = leaf_buckets(sketches, least, runs, choices, depth, small, dense)
-    sized = leaves.join(sketches.select("_class", "_n"), "_class")
+    firsts = made.join(named.hint("merge"), (made["_name"] == named["_name"]) & (own == F.col("_class"))).select("_class", "_n", "_paths").dropDuplicates(["_class"])
+    firsts = stage(firsts, "firsts")
+    leaves = leaf_buckets(firsts, made.select(own.alias("_class"), "_sketch"), choices, depth, small, dense)
+    sized = leaves.join(firsts.select("_class", "_n"), "_class")
     # who meets whom is settled on narrow rows; sets travel once to their class and once to its blocks
     place = F.struct("_leaf", "_i", "_j", "_b")
     placed = blocks(sized, ["_leaf"], "_class", "_n")

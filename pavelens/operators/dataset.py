@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from .blocks import index_rows, scan, series, with_halo
 
 
-def split_counts(total: int, ratios: dict[str, float]) -> dict[str, int]:
-    """Largest-remainder counts per split; ties by name."""
-    if total <= 0:
-        raise ValueError("total must be positive")
+def split_counts(groups: DataFrame, keys: list[str], total: str, ratios: dict[str, float]) -> DataFrame:
+    """(keys, split, samples): how many of each group's ``total`` go to each split, by largest remainder; ties go by name.
+
+    One row per group comes in, so the shares are an array per row and nothing is shuffled. A total that is null or below 1 fails the job.
+    """
     if not math.isclose(sum(ratios.values()), 1.0, abs_tol=1e-6):
         raise ValueError("ratios must sum to 1")
-    exact = {k: total * v for k, v in ratios.items()}
-    out = {k: math.floor(v) for k, v in exact.items()}
-    by_rest = sorted(out, key=lambda k: (out[k] - exact[k], k))
-    for k in by_rest[: total - sum(out.values())]:
-        out[k] += 1
-    return out
+    n = F.when(F.col(total) >= 1, F.col(total)).otherwise(F.raise_error(F.lit("total must be positive")))
+    shares = F.array(*[F.struct((n * share).alias("want"), F.lit(split).alias("split")) for split, share in ratios.items()])
+    ranked = F.array_sort(F.transform(shares, lambda s: F.struct((F.floor(s["want"]) - s["want"]).alias("short"), s["split"].alias("split"), F.floor(s["want"]).alias("whole"))))
+    spare = F.col(total) - F.aggregate("_ranked", F.lit(0).cast("bigint"), lambda acc, s: acc + s["whole"])
+    sized = F.transform("_ranked", lambda s, i: F.struct(s["split"].alias("split"), (s["whole"] + (i < spare).cast("bigint")).alias("samples")))
+    return groups.withColumn("_ranked", ranked).select(*keys, F.inline(sized))
 
 
 def assign_splits(df: DataFrame, order: list[str], ratios: dict[str, float], position: str | None = None) -> DataFrame:
@@ -32,11 +33,12 @@ def assign_splits(df: DataFrame, order: list[str], ratios: dict[str, float], pos
     placed = df.withColumn("scene_no", F.col(position)) if position else index_rows(
         df.withColumn("_all", F.lit(0)), ["_all"], order, "scene_no"
     ).drop("_all")
-    total = placed.count()
+    sizes = split_counts(placed.agg(F.count(F.lit(1)).alias("total")), [], "total", ratios)
+    samples = {row["split"]: row["samples"] for row in sizes.collect()}  # one row per split
     upto, label = 0, F.lit(None).cast("string")
     bounds = []
-    for name, n in split_counts(total, ratios).items():
-        upto += n
+    for name in ratios:
+        upto += samples[name]
         bounds.append((upto, name))
     for limit, name in reversed(bounds):
         label = F.when(F.col("scene_no") < limit, name).otherwise(label)

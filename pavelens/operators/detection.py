@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,15 +239,15 @@ def _iou() -> Column:
 
 
 def nms(
-    det: DataFrame, keys: list[str], conf: float = 0.5, iou: float = 0.45, k: int = 50, per_class: bool = True
+    det: DataFrame, keys: list[str], conf: float = 0.5, iou: float = 0.45, k: int | None = None, per_class: bool = True
 ) -> DataFrame:
-    """Greedy suppression: at most k boxes per frame by confidence, none overlapping a better kept one.
+    """Greedy suppression: boxes by confidence, none overlapping a better kept one; with ``k``, the k best per frame.
 
     Needs x, y, w, h, confidence, class and a unique det_idx per frame. Identical boxes
     are collapsed first (the best copy stands for all: they are suppressed together or
     by it). Each round then takes the best open box of every (frame, class), and removes
-    what it overlaps; a group is closed after k picks. Groups are only aggregated and
-    joined to one box each, never collected, and there are at most k rounds.
+    what it overlaps. Groups are only aggregated and joined to one box each, never collected; there are as many
+    rounds as boxes kept in one group, at most k if it is given.
     """
     by = [*keys, "class"] if per_class else list(keys)
     rank = F.struct(F.col("confidence"), -F.col("det_idx"))
@@ -257,7 +259,7 @@ def nms(
         .select(*by, "x", "y", "w", "h", "_p.*")
     )
     kept = None
-    for i in range(k):
+    for i in count() if k is None else range(k):
         full = F.struct("x", "y", "w", "h", *payload)
         top = open_.groupBy(*by).agg(F.max_by(full, rank).alias("_t"), F.count(F.lit(1)).alias("_n"))
         top = cut(top)
@@ -271,5 +273,7 @@ def nms(
         open_ = cut(left.where((F.col("det_idx") != F.col("_det_idx")) & (_iou() <= iou)).select(*open_.columns))
     if kept is None:
         return det.limit(0)
+    if k is None:
+        return kept.select(*det.columns)
     w = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), F.col("det_idx"))
     return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(*det.columns)

@@ -181,8 +181,8 @@ def relative_depth(df: DataFrame, keys: list[str], disparity: str) -> DataFrame:
     return j.select(*df.columns, (1.0 / F.greatest(F.col(disparity) - F.col("p")[0], F.lit(1e-5))).alias("rel_depth"))
 
 
-def stride_sample(points: DataFrame, keys: list[str], order: str, limit: int = 5000) -> DataFrame:
-    """Every (n // limit)-th point of groups above the limit, as plane fitting does."""
+def stride_sample(points: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
+    """Every (n // limit)-th point of groups above the limit. Plane fitting here scores all points and does not need it."""
     pos = scan(points, series(keys, order), number="_j", totals={"_n": ("count", F.lit(1))})
     step = F.when(F.col("_n") > limit, F.floor(F.col("_n") / limit)).otherwise(1)
     return pos.where(F.col("_j") % step == 0).drop("_j", "_n")
@@ -226,15 +226,39 @@ def fit_plane(points: DataFrame, keys: list[str], hypotheses: int = 100, toleran
 
 
 def depth_below_plane(points: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth of camera points behind the road plane z = a x + b y + d: noise is zeroed, depth capped."""
-    j = _hot_join(points, planes.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("d").alias("_d")), keys)
-    raw = (F.col("z") - F.col("_a") * F.col("x") - F.col("_b") * F.col("y") - F.col("_d")) / F.sqrt(
-        F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") + 1
-    )
-    depth = F.when(raw < NOISE_DEPTH_M, 0.0).otherwise(F.least(raw, F.lit(MAX_DEPTH_M)))
+    """Depth of camera points behind the road plane a x + b y + c z + d = 0, as ``fit_plane`` gives it: noise is zeroed, depth capped.
+
+    Depth grows with z on either choice of the normal's sign. A plane along z (c = 0) has no side behind it and gives null.
+    """
+    j = _hot_join(points, planes.select(*keys, *[F.col(n).alias(f"_{n}") for n in "abcd"]), keys)
+    length = F.sqrt(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") + F.col("_c") * F.col("_c"))
+    raw = F.signum("_c") * (F.col("_a") * F.col("x") + F.col("_b") * F.col("y") + F.col("_c") * F.col("z") + F.col("_d")) / length
+    depth = F.when(F.col("_c") != 0, F.when(raw < NOISE_DEPTH_M, 0.0).otherwise(F.least(raw, F.lit(MAX_DEPTH_M))))
     return j.select(*points.columns, depth.alias("depth_m"))
 
 
+def refit_plane(points: DataFrame, planes: DataFrame, keys: list[str], tolerance: float = 0.05) -> DataFrame:
+    """Least-squares plane in z through the points within ``tolerance`` of a fitted one, as a unit normal with c > 0.
+
+    Sums around each group's mean are one partial aggregate each; a group whose inliers lie on a line in x and y keeps its plane.
+    """
+    old = planes.select(*keys, *[F.col(n).alias(f"_{n}") for n in "abcd"])
+    near = _hot_join(points.select(*keys, "x", "y", "z"), old, keys).where(
+        F.abs(F.col("_a") * F.col("x") + F.col("_b") * F.col("y") + F.col("_c") * F.col("z") + F.col("_d")) < tolerance
+    )
+    n = lambda a, b: F.covar_pop(a, b)
+    fit = near.groupBy(*keys).agg(
+        *[F.avg(a).alias(f"_m{a}") for a in "xyz"], n("x", "x").alias("_xx"), n("y", "y").alias("_yy"), n("x", "y").alias("_xy"), n("x", "z").alias("_xz"), n("y", "z").alias("_yz"),
+    )
+    det = F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
+    fit = fit.where(det > 1e-12 * F.col("_xx") * F.col("_yy")).withColumn("_det", det)
+    fit = fit.withColumn("_u", (F.col("_xz") * F.col("_yy") - F.col("_yz") * F.col("_xy")) / F.col("_det")).withColumn("_v", (F.col("_yz") * F.col("_xx") - F.col("_xz") * F.col("_xy")) / F.col("_det"))
+    length = F.sqrt(F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v") + 1)
+    level = F.col("_mz") - F.col("_u") * F.col("_mx") - F.col("_v") * F.col("_my")
+    better = fit.select(*keys, F.struct((-F.col("_u") / length).alias("a"), (-F.col("_v") / length).alias("b"), (1 / length).alias("c"), (-level / length).alias("d")).alias("_new"))
+    return planes.join(better, keys, "left").select(*keys, *[F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) for c in "abcd"])
+
+
 def depth_stats(points: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
     """98th percentile and mean of the positive depths and their share of the mask, per detection."""
     deep = depth_below_plane(points, planes, keys)

@@ -15,10 +15,7 @@ f AS (SELECT lang, n, split, floor(n * share) AS k, n * share - floor(n * share)
 SELECT lang, split, CAST(k + CASE WHEN q <= n - t THEN 1 ELSE 0 END AS BIGINT) AS samples FROM g""")
 def split_counts(spark, sf):
     n = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rows = []
-    for row in n.collect():  # one row per language
-        rows += [(row["lang"], k, v) for k, v in ds.split_counts(row["n"], RATIOS).items()]
-    return spark.createDataFrame(rows, "lang string, split string, samples long")
+    return ds.split_counts(n, ["lang"], "n", RATIOS)
 
 
 ASSIGN = """n AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),

@@ -75,7 +75,7 @@ def stride_sample(spark, sf):
 
 
 PLANE_SQL = feeds.POINTS_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY md5(idx::VARCHAR), idx) AS r FROM points),
-t AS (SELECT frame_id, (r - 1) // 3 AS k, list({'x': x, 'y': y, 'z': z} ORDER BY r) AS t FROM rk WHERE r <= 60 GROUP BY 1, 2 HAVING count(*) = 3),
+t AS (SELECT frame_id, (r - 1) // 3 AS k, list({'x': x, 'y': y, 'z': z} ORDER BY r) AS t FROM rk WHERE r <= 300 GROUP BY 1, 2 HAVING count(*) = 3),
 n AS (SELECT frame_id, k, t[1] AS p, (t[2].y - t[1].y) * (t[3].z - t[1].z) - (t[2].z - t[1].z) * (t[3].y - t[1].y) AS a, (t[2].z - t[1].z) * (t[3].x - t[1].x) - (t[2].x - t[1].x) * (t[3].z - t[1].z) AS b,
   (t[2].x - t[1].x) * (t[3].y - t[1].y) - (t[2].y - t[1].y) * (t[3].x - t[1].x) AS c FROM t),
 u AS (SELECT frame_id, k, p, a / sqrt(a * a + b * b + c * c) AS a, b / sqrt(a * a + b * b + c * c) AS b, c / sqrt(a * a + b * b + c * c) AS c FROM n WHERE sqrt(a * a + b * b + c * c) >= 1e-6),
@@ -86,7 +86,7 @@ plane AS (SELECT frame_id, arg_max({'a': a, 'b': b, 'c': c, 'd': d, 'n': inliers
 
 @query("fit_plane", "WITH " + PLANE_SQL + f" SELECT frame_id, {r('m.a', 5)} AS a, {r('m.b', 5)} AS b, {r('m.c', 5)} AS c, {r('m.d', 5)} AS d, m.n AS inliers FROM plane")
 def fit_plane(spark, sf):
-    out = pt.fit_plane(feeds.points(spark, sf), ["frame_id"], 20, 0.05)
+    out = pt.fit_plane(feeds.points(spark, sf), ["frame_id"])
     return out.select("frame_id", *[rnd(c, 5).alias(c) for c in "abcd"], "inliers")
 
 
@@ -94,18 +94,26 @@ def fit_plane(spark, sf):
 SELECT idx, {r('up * f * (m.a * x + m.b * y + m.c * z + m.d)', 4)} AS signed_m, up * f * (m.a * x + m.b * y + m.c * z + m.d) < -0.05 AS is_pothole FROM points p JOIN s ON s.frame_id = p.frame_id""")
 def plane_depth(spark, sf):
     p = feeds.points(spark, sf)
-    out = pt.plane_depth(p, pt.fit_plane(p, ["frame_id"], 20, 0.05), ["frame_id"], 1.6)
+    out = pt.plane_depth(p, pt.fit_plane(p, ["frame_id"]), ["frame_id"], 1.6)
     return out.select("idx", rnd("signed_m", 4).alias("signed_m"), "is_pothole")
 
 
-@query("depth_stats", f"""WITH d AS (SELECT l_orderkey % 100 AS det, (l_quantity / 100 - 0.001 * (l_partkey % 10) - 0.002 * (l_suppkey % 10) - 0.2) / sqrt(0.001 * 0.001 + 0.002 * 0.002 + 1) AS raw FROM lineitem),
-e AS (SELECT det, CASE WHEN raw < 0.005 THEN 0.0 ELSE least(raw, 0.1 * 4) END AS m FROM d)
-SELECT det, {r('coalesce(quantile_cont(m, 0.98) FILTER (WHERE m > 0), 0)')} AS max_depth_m, {r('coalesce(avg(m) FILTER (WHERE m > 0), 0)')} AS mean_depth_m, {r('count(*) FILTER (WHERE m > 0)::DOUBLE / count(*)')} AS quality FROM e GROUP BY 1""")
+@query("depth_stats", "WITH " + PLANE_SQL + f""", d AS (SELECT p.frame_id, sign(m.c) * (m.a * x + m.b * y + m.c * z + m.d) / sqrt(m.a * m.a + m.b * m.b + m.c * m.c) AS raw FROM points p JOIN plane USING (frame_id)),
+e AS (SELECT frame_id, CASE WHEN raw < 0.005 THEN 0.0 ELSE least(raw, 0.4) END AS m FROM d)
+SELECT frame_id, {r('coalesce(quantile_cont(m, 0.98) FILTER (WHERE m > 0), 0)')} AS max_depth_m, {r('coalesce(avg(m) FILTER (WHERE m > 0), 0)')} AS mean_depth_m, {r('count(*) FILTER (WHERE m > 0)::DOUBLE / count(*)')} AS quality FROM e GROUP BY 1""")
 def depth_stats(spark, sf):
-    c = F.col
-    p = table(spark, sf, "lineitem").select((c("l_orderkey") % 100).alias("det"), (c("l_partkey") % 10).cast("double").alias("x"), (c("l_suppkey") % 10).cast("double").alias("y"), (c("l_quantity") / 100).alias("z"))
-    planes = p.select("det").distinct().select("det", F.lit(0.001).alias("a"), F.lit(0.002).alias("b"), F.lit(0.2).alias("d"))
-    return pt.depth_stats(p, planes, ["det"]).select("det", *[rnd(n).alias(n) for n in ("max_depth_m", "mean_depth_m", "quality")])
+    p = feeds.points(spark, sf)
+    return pt.depth_stats(p, pt.fit_plane(p, ["frame_id"]), ["frame_id"]).select("frame_id", *[rnd(n).alias(n) for n in ("max_depth_m", "mean_depth_m", "quality")])
+
+
+@query("refit_plane", "WITH " + PLANE_SQL + f""", g AS (SELECT p.frame_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz
+  FROM points p JOIN plane USING (frame_id) WHERE abs(m.a * x + m.b * y + m.c * z + m.d) < 0.05 GROUP BY 1 HAVING xx * yy - xy * xy > 1e-12 * xx * yy),
+f AS (SELECT frame_id, mx, my, mz, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS u, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS v FROM g)
+SELECT p.frame_id, {r('coalesce(-u / sqrt(u * u + v * v + 1), m.a)', 5)} AS a, {r('coalesce(-v / sqrt(u * u + v * v + 1), m.b)', 5)} AS b, {r('coalesce(1 / sqrt(u * u + v * v + 1), m.c)', 5)} AS c,
+  {r('coalesce(-(mz - u * mx - v * my) / sqrt(u * u + v * v + 1), m.d)', 5)} AS d FROM plane p LEFT JOIN f USING (frame_id)""")
+def refit_plane(spark, sf):
+    p = feeds.points(spark, sf)
+    return pt.refit_plane(p, pt.fit_plane(p, ["frame_id"]), ["frame_id"]).select("frame_id", *[rnd(c, 5).alias(c) for c in "abcd"])
 
 
 # Triangles: v(row, col) is the deepest order on the cell; tl-bl-tr and tr-bl-br.

@@ -12,7 +12,8 @@ from . import schemas
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
 VIDEO_EXTENSIONS = ("mp4", "mov")
 MIN_LABEL_TOKENS = 7
-MAX_STREAM_ARITY = 9
+#: Session and, if the file had more than one stream, its four-character name.
+STREAM_FILE = r"^(.*?)(?:_([A-Z][A-Z0-9]{3}))?\.csv$"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -24,21 +25,24 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stream_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """Per-stream CSV dumps named {session}_{STREAM}.csv with positional columns.
+    """Per-stream CSV dumps named {session}_{STREAM}.csv with positional columns; {session}.csv, from a file of one stream, has a null ``stream``.
 
-    ``seq`` keeps file order; it is increasing and unique per file, not dense.
+    ``seq`` keeps file order; it is increasing and unique per file, not dense. ``data`` has every column of the file: blank values are null and keep
+    their place, only those after a row's last value are left out. A pass over the bare lines finds the widest file.
     """
-    schema = T.StructType([T.StructField(str(i), T.DoubleType()) for i in range(MAX_STREAM_ARITY)])
+    widest = spark.read.text(glob).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    schema = T.StructType([T.StructField(str(i), T.DoubleType()) for i in range(widest)])
     name = F.col("_metadata.file_name")
-    values = F.filter(F.array(*[F.col(str(i)) for i in range(MAX_STREAM_ARITY)]), lambda v: v.isNotNull())
+    values = F.array(*[F.col(str(i)) for i in range(widest)])
+    last = F.array_max(F.transform(values, lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(0)))
     return (
         spark.read.schema(schema)
         .csv(glob, header=True, mode="PERMISSIVE", enforceSchema=True)
         .select(
-            F.regexp_extract(name, r"^(.*)_[A-Z0-9]{4}\.csv$", 1).alias("session_id"),
-            F.regexp_extract(name, r"_([A-Z0-9]{4})\.csv$", 1).alias("stream"),
+            F.regexp_extract(name, STREAM_FILE, 1).alias("session_id"),
+            F.nullif(F.regexp_extract(name, STREAM_FILE, 2), F.lit("")).alias("stream"),
             F.monotonically_increasing_id().alias("seq"),
-            values.alias("data"),
+            F.slice(values, F.lit(1), last).alias("data"),
         )
     )
 

@@ -77,13 +77,22 @@ def test_filter_bounds_are_inclusive(spark):
     assert sorted(r["idx"] for r in got) == [1, 2]
 
 
-def test_split_counts():
+def test_split_counts(spark):
     r = {"train": 0.8, "val": 0.1, "test": 0.1}
-    assert split_counts(10, r) == {"train": 8, "val": 1, "test": 1}
-    assert split_counts(100, r) == {"train": 80, "val": 10, "test": 10}
-    assert sum(split_counts(16036, r).values()) == 16036
+    groups = spark.createDataFrame([("a", 10), ("b", 100), ("c", 16036), ("d", 1)], "g string, n long")
+    got: dict = {}
+    for row in split_counts(groups, ["g"], "n", r).collect():
+        got.setdefault(row["g"], {})[row["split"]] = row["samples"]
+    assert got["a"] == {"train": 8, "val": 1, "test": 1}
+    assert got["b"] == {"train": 80, "val": 10, "test": 10}
+    assert sum(got["c"].values()) == 16036
+    assert got["d"] == {"train": 1, "val": 0, "test": 0}
+    even = split_counts(groups.where("g = 'd'"), ["g"], "n", {"b": 0.5, "a": 0.5}).collect()
+    assert {x["split"]: x["samples"] for x in even} == {"a": 1, "b": 0}
     with pytest.raises(ValueError):
-        split_counts(0, r)
+        split_counts(groups, ["g"], "n", {"train": 0.8, "val": 0.1})
+    with pytest.raises(Exception, match="total must be positive"):
+        split_counts(groups.select("g", F.lit(0).alias("n")), ["g"], "n", r).collect()
 
 
 def test_label_round_trip(spark, tmp_path):
@@ -101,6 +110,16 @@ def test_stream_csv(spark, tmp_path):
     assert {(r["session_id"], r["stream"], len(r["data"])) for r in got} == {("hero5", "GPS5", 5), ("hero5", "ISOG", 1)}
 
 
+def test_stream_csv_keeps_positions_and_all_columns(spark, tmp_path):
+    (tmp_path / "hero5_GPS5.csv").write_text("0,1,2,3,4\n1.0,,3.0,4.0,5.0\n1.0,2.0,,,\n")
+    (tmp_path / "hero9_WIDE.csv").write_text(",".join(map(str, range(11))) + "\n" + ",".join(map(str, range(100, 111))) + "\n")
+    (tmp_path / "lone_clip.csv").write_text("0,1\n7.5,8.5\n")
+    got = {(r["session_id"], r["stream"], tuple(r["data"])) for r in readers.read_stream_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {
+        ("hero5", "GPS5", (1.0, None, 3.0, 4.0, 5.0)), ("hero5", "GPS5", (1.0, 2.0)), ("hero9", "WIDE", tuple(float(i) for i in range(100, 111))), ("lone_clip", None, (7.5, 8.5)),
+    }
+
+
 def test_process_meta(spark, tmp_path):
     (tmp_path / "process_meta_a.jpg.json").write_text('{"telemetry": {"lat": 1.5},\n "view_meta": {"front": {"detections": [{"class_name": "Crack", "conf": 0.5}]}}}')
     (tmp_path / "process_meta_b.jpg.json").write_text("{broken")

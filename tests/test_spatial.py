@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pavelens.functions import camera as cam, geo, polygons as pg
-from pavelens.operators import detection as dt, graph, grouping as gp, joins, passes as ps
+from pavelens.operators import detection as dt, graph, grouping as gp, joins, passes as ps, points as pt
 from pavelens.operators.points import exact_percentiles
 
 
@@ -170,3 +170,17 @@ def test_nms_keeps_at_most_k(spark):
     rows = [(1, "c", i, i * 30, 0, 10, 10, 1 - i / 100) for i in range(6)] + [(1, "c", 10 + i, 0, 0, 10, 10, 0.6) for i in range(4)]
     det = spark.createDataFrame(rows, "frame_id int, class string, det_idx int, x int, y int, w int, h int, confidence double")
     assert sorted(r["det_idx"] for r in dt.nms(det, ["frame_id"], k=4).collect()) == [0, 1, 2, 3]
+
+
+def test_points_on_their_own_plane_have_no_depth(spark):
+    rows = [("p", i, float(i % 7), float(i // 7), 0.3 * (i % 7) - 0.2 * (i // 7) + 4.0) for i in range(70)]
+    sunk = rows + [("p", 70, 3.0, 4.0, 0.3 * 3 - 0.2 * 4 + 4.0 + 0.1 * (0.3**2 + 0.2**2 + 1) ** 0.5)]
+    schema = "det string, idx int, x double, y double, z double"
+    flat, deep = spark.createDataFrame(rows, schema), spark.createDataFrame(sunk, schema)
+    plane = pt.fit_plane(flat, ["det"])
+    got = pt.depth_stats(flat, plane, ["det"]).first()
+    assert (got["max_depth_m"], got["mean_depth_m"], got["quality"]) == (0.0, 0.0, 0.0)
+    again = pt.refit_plane(deep, plane, ["det"]).first()
+    assert abs(-again["a"] / again["c"] - 0.3) < 1e-9 and abs(-again["b"] / again["c"] + 0.2) < 1e-9 and abs(-again["d"] / again["c"] - 4.0) < 1e-9
+    got = pt.depth_stats(deep, pt.refit_plane(deep, plane, ["det"]), ["det"]).first()
+    assert abs(got["max_depth_m"] - 0.1) < 1e-9 and abs(got["quality"] - 1 / 71) < 1e-12

@@ -22,6 +22,11 @@ MAX_DOP = 5.0
 MIN_FIX = 2.0
 MOVING_MS = 1.0
 
+# Warning texts of the health report.
+SPEED_WARNING = "Kinematic Anomaly: GPS coordinate jumped violently (Speed delta: %.1f m/s)."
+GPS_WARNING = "GPS Quality Degraded (Score: %.1f%%). High spatial drift."
+IMU_WARNING = "IMU Calibration/Vibration Issue (Score: %.1f%%). Gravity vector unstable."
+
 
 def payload_timeline(payloads: DataFrame) -> DataFrame:
     """Samples of a payload spread evenly over its duration."""
@@ -256,15 +261,15 @@ def health_warnings(report: DataFrame) -> DataFrame:
     msgs = F.array(
         F.when(
             F.col("max_speed_error_exact") > 15.0,
-            F.format_string("Kinematic Anomaly: GPS coordinate jumped violently (Speed delta: %.1f m/s).", F.col("max_speed_error_exact")),
+            F.format_string(SPEED_WARNING, F.col("max_speed_error_exact")),
         ),
         F.when(
             F.col("gps_score") < 80,
-            F.format_string("GPS Quality Degraded (Score: %.1f%%). High spatial drift.", F.col("gps_score")),
+            F.format_string(GPS_WARNING, F.col("gps_score")),
         ),
         F.when(
             F.col("imu_score") < 90,
-            F.format_string("IMU Calibration/Vibration Issue (Score: %.1f%%). Gravity vector unstable.", F.col("imu_score")),
+            F.format_string(IMU_WARNING, F.col("imu_score")),
         ),
     )
     return report.withColumn("warnings", F.array_compact(msgs))

@@ -18,14 +18,18 @@ from .fitting import fit_on_sample
 #: Messages of label 0 and 1 at most that the dictionaries and thresholds are fitted on.
 FIT_ROWS = (6_000, 2_000)
 #: Bytes of the windows; each size is compressed with both dictionaries.
-WINDOWS = (64, 96)
-ORDINARY_BYTES, TOXIC_BYTES = 24_000, 4_096
-GRAM = 5
+WINDOWS = (32, 64)
+ORDINARY_BYTES, TOXIC_BYTES = 24_000, 24_000
+#: Bytes of the grams, which start at the space before a word, and how many bytes of a word tell its start from the same letters further inside.
+GRAM, START = 5, 3
+#: Signed root of the likelihood ratio from which a gram counts as more usual in toxic texts: about one false gram in 30,000.
+EVIDENCE = 4.0
+_MARKED = bytes(i ^ 0x80 for i in range(256))
 
 
 @dataclass
 class Distance:
-    """Ordinary dictionary, what the toxic one has before it, weights of the calibrated window features."""
+    """Ordinary dictionary, the toxic one that stands before it, weights of the calibrated window features."""
 
     ordinary: bytes
     toxic: bytes
@@ -38,6 +42,12 @@ class Distance:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weight[:-1] + self.weight[-1], -30, 30))))
 
 
+def mark_starts(text: bytes) -> bytes:
+    """Lower-cased words, each behind a space and its first ``START`` bytes as other bytes: a stem at a word's start matches only there."""
+    words = text.lower().split()
+    return b" " + b" ".join(w[:START].translate(_MARKED) + w[START:] for w in words) + b" " if words else b""
+
+
 def cut(text: bytes, size: int) -> list[bytes]:
     """Windows of ``size`` bytes or little more, up to the next space if it is near."""
     out, lo = [], 0
@@ -67,71 +77,92 @@ def _compressors(ordinary: bytes, toxic: bytes):
 
 
 def features(text: bytes, model: Distance) -> np.ndarray:
-    """Per window size: the largest three gains of the toxic dictionary, how often it gains, the number of windows."""
+    """Per window size: the largest three gains of the toxic dictionary, how many and which share of the windows gain, the mean gain, the number of windows."""
     plain, toxic = _compressors(model.ordinary, model.toxic)
-    text = text.lower()
+    text = mark_starts(text)
     out: list[float] = []
     for size in WINDOWS:
         windows = cut(text, size)
-        gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows] + [0, 0, 0])
-        top = np.sort(gain)[::-1]
-        n = max(1, len(windows))
-        out += [top[0], top[1], top[2], (gain >= 2).sum() / n**0.5, (gain >= 4).sum() / n**0.5, np.log(n), max(0, top[0]) / np.log(3 + n)]
+        gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows] or [0])
+        weighed = np.sort(gain.clip(0, 6))[::-1]  # so that one odd window does not stand for many
+        top = np.r_[weighed, 0, 0, 0][:3]
+        n = np.log(max(1, len(windows)))
+        counts = [np.log1p((gain >= g).sum()) for g in (1, 2, 3, 4)]
+        shares = [(gain >= g).mean() ** 0.5 for g in (1, 2, 3)]
+        out += [*top, n, *counts, *shares, weighed.mean(), top[0] / (np.log(3 + len(windows)))]
     return np.array(out, np.float64)
 
 
-def _grams(text: bytes) -> set[bytes]:
-    return {w[i : i + GRAM] for w in set(text.lower().split()) for i in range(len(w) - GRAM + 1)}
+def _grams(word: bytes) -> list[bytes]:
+    word = b" " + word
+    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
 
 
 def _stretches(word: bytes, marked: set[bytes]) -> list[bytes]:
-    """Longest stretches of ``word`` that marked grams cover."""
+    """Longest stretches of ``word``, with the space before it, that marked grams cover."""
     out, start, end = [], None, 0
-    for i in range(len(word) - GRAM + 1):
-        if word[i : i + GRAM] in marked:
+    for i, gram in enumerate(_grams(word)):
+        if gram in marked:
             if start is None or i > end:
                 if start is not None:
-                    out.append(word[start:end])
+                    out.append((b" " + word)[start:end])
                 start = i
             end = i + GRAM
-    return out if start is None else [*out, word[start:end]]
+    return out if start is None else [*out, (b" " + word)[start:end]]
+
+
+def _evidence(counts: tuple[Counter, Counter], n: list[int]) -> dict[bytes, float]:
+    """Signed root of the likelihood ratio per gram of toxic texts: that its share of toxic texts differs from that of ordinary ones.
+
+    A stem that ordinary texts use now and then, or that only the texts of a rare language hold, passes if there are texts enough to tell.
+    """
+    k = [np.array([c[g] for g in counts[1]], np.float64) for c in counts]
+
+    def fit(x: np.ndarray, m: int, p: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(p, 1e-300)) + (m - x) * np.log(np.maximum(1 - p, 1e-300))
+
+    p = (k[0] + k[1]) / (n[0] + n[1])
+    ratio = sum(fit(x, m, x / m) - fit(x, m, p) for x, m in zip(k, n))
+    return dict(zip(counts[1], np.sqrt(2 * np.maximum(ratio, 0)) * np.sign(k[1] / n[1] - k[0] / n[0])))
+
+
+def _trained(size: int, windows: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(size + 8192, windows, k=16, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on: the text itself
+        return b" ".join(windows)[-size:]
 
 
 def fit_distance(texts: list[bytes], label: np.ndarray, shift: float) -> Distance:
     """Dictionaries from one part of the texts, calibration on the other.
 
-    The ordinary dictionary is trained by zstandard on windows of ordinary texts. The toxic one has that text too, and before it the
-    passages that are frequent in toxic texts and rare in ordinary ones; the difference of two lengths is then due to those alone.
+    Both are trained by zstandard, the ordinary one on windows of ordinary texts, the toxic one on what is more usual in toxic texts than in ordinary
+    ones, from all toxic texts of the part; the ordinary windows leave that out. The toxic dictionary stands before the ordinary one; the difference of
+    two lengths is then due to those stretches alone. How often they occur is left to the calibration.
     """
     first = np.arange(len(texts)) % 5 < 3
-    counts = [Counter(), Counter()]
-    for t, k in zip(texts, label * first + -1 * ~first):
-        if k >= 0:
-            counts[k].update(_grams(t))
+    part = {i: mark_starts(texts[i]) for i in np.flatnonzero(first)}
+    counts = (Counter(), Counter())
+    for i, t in part.items():
+        counts[label[i]].update({g for w in set(t.split()) for g in _grams(w)})
     n = [max(1, int((first & (label == k)).sum())) for k in (0, 1)]
-    marked = {g for g, c in counts[1].items() if c >= max(4, 0.02 * n[1]) and c / n[1] > 100 * (counts[0][g] + 0.3) / n[0]}
+    marked = {g for g, z in _evidence(counts, n).items() if z > EVIDENCE}
     if not marked:  # few labels
         marked = {g for g, c in counts[1].items() if c >= 3 and not counts[0][g]}
-    found: Counter = Counter()
-    windows: list[bytes] = []
+    windows: tuple[list[bytes], list[bytes]] = ([], [])
     rng = np.random.default_rng(7)
-    for i in np.flatnonzero(first):
+    for i, t in part.items():
         if label[i]:
-            for w in texts[i].lower().split():
-                found.update(_stretches(w, marked))
+            windows[1].extend(cut(b"".join(s for w in t.split() for s in _stretches(w, marked)), 96))
         else:
-            own = cut(texts[i].lower(), 96)
-            windows += [own[j] for j in rng.choice(len(own), min(4, len(own)), replace=False)] if own else []
-    toxic = b" " + b" ".join(w for w, c in sorted(found.items(), key=lambda x: (x[1], x[0])) if c >= max(2, 0.005 * n[1]))[-TOXIC_BYTES:] + b" "
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES + 8192, windows).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        ordinary = b" ".join(windows)[-ORDINARY_BYTES:]
-    model = Distance(ordinary or b" the ", toxic, np.zeros(1), np.ones(1), np.zeros(2))
+            own = cut(t, 96)
+            for j in rng.choice(len(own), min(4, len(own)), replace=False) if own else ():
+                windows[0].append(b" " + b" ".join(w for w in own[j].split() if marked.isdisjoint(_grams(w))) + b" ")
+    model = Distance(_trained(ORDINARY_BYTES, windows[0]) or b" the ", _trained(TOXIC_BYTES, windows[1]), np.zeros(1), np.ones(1), np.zeros(2))
     rest = np.flatnonzero(~first)
-    x = np.array([features(texts[i], model) for i in rest]) if len(rest) else np.zeros((0, 7 * len(WINDOWS)))
+    x = np.array([features(texts[i], model) for i in rest]) if len(rest) else np.zeros((0, len(features(b"", model))))
     y = label[rest].astype(np.float64)
-    model.mean, model.scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(7 * len(WINDOWS)), np.ones(7 * len(WINDOWS)))
+    model.mean, model.scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     model.weight = logistic((x - model.mean) / model.scale, y, shift)
     return model
 

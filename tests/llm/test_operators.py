@@ -247,3 +247,26 @@ def test_classifiers_tell_held_out_messages_apart(spark):
     kept = toxicity.drop_toxic(df, toxicity.fit_toxicity(df, labels.where("toxic = 0")))
     assert kept.columns == df.columns and kept.count() == len(rows)  # nothing toxic to learn from
     assert quality.score_quality(df.where("false"), quality.fit_quality(df, labels.where("false"))).count() == 0
+
+
+def test_toxic_stems_of_a_rare_language_and_short_terms_are_learnt():
+    rng = np.random.default_rng(3)
+    syllables = ["ba", "ker", "lo", "min", "tes", "ur", "vand", "po"]
+
+    def text(toxic, rare):
+        w = ["".join(rng.choice(syllables, rng.integers(2, 5))) for _ in range(120)]
+        term = "zorni" if rare else "scug"
+        for at in rng.choice(120, 5, replace=False) if toxic else rng.choice(120, 1) if rare and rng.random() < 0.12 else ():
+            w[at] = term + "".join(rng.choice(syllables, 2)) if rare else term  # clean texts of the rare language have the stem now and then
+        return " ".join(w).encode()
+
+    kinds = [(k % 5 == 0, k % 60 < 12) for k in range(1200)]  # a fifth toxic, a fifth in the rare language
+    texts = [text(*k) for k in kinds]
+    order = rng.permutation(1200)
+    fit, held = order[:900], order[900:]
+    model = toxicity.fit_distance([texts[i] for i in fit], np.array([int(kinds[i][0]) for i in fit]), 0.0)
+    for rare in (False, True):
+        of = [i for i in held if kinds[i][1] == rare]
+        found = [model.score(texts[i]) >= 0.5 for i in of if kinds[i][0]]
+        false = [model.score(texts[i]) >= 0.5 for i in of if not kinds[i][0]]
+        assert len(found) > 5 and np.mean(found) >= 0.9 and np.mean(false) <= 0.05

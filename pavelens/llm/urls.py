@@ -55,7 +55,7 @@ def levels(host: Column) -> tuple[Column, Column]:
 def _shrunk(counts: DataFrame, child: str, parent: DataFrame | None, up: str | None, prior: float) -> DataFrame:
     """(child, _mean, _weight): mean of bad outcomes of each child, shrunk towards its parent's by a strength from the spread of the children.
 
-    A child's prior is its parent's posterior without the child's own outcomes. The strength is the beta-binomial moment estimate over all children of the level: few outcomes or much spread give a weak prior.
+    A child's prior is its parent's posterior without the child's own outcomes. The strength is the beta-binomial moment estimate over all children of the level: much spread gives a weak prior, none beyond chance the strongest (1000).
     """
     if parent is None:
         base = counts.agg(((F.sum("_bad") + 0.5) / (F.sum("_all") + 1.0)).alias("_prior"))
@@ -68,9 +68,9 @@ def _shrunk(counts: DataFrame, child: str, parent: DataFrame | None, up: str | N
     expected = F.col("_prior") * (1 - F.col("_prior"))
     # E[(share - prior)^2] = p(1-p) (1/n + (1 - 1/n) rho) and strength = 1/rho - 1
     rho = F.sum(F.col("_all") * ((share - F.col("_prior")) ** 2 / expected) - 1.0) / F.sum(F.col("_all") - 1.0)
-    strength = joined.where("_all > 1").agg(rho.alias("_rho")).select(
-        F.coalesce(F.least(F.greatest(1.0 / F.col("_rho") - 1.0, F.lit(1.0)), F.lit(1000.0)), F.lit(prior)).alias("_strength")
-    )
+    r = F.col("_rho")
+    held = F.when(r <= 0.001, 1000.0).when(r > 0.001, F.greatest(1.0 / r - 1.0, F.lit(1.0))).otherwise(prior)  # null: nothing to estimate it from
+    strength = joined.where("_all > 1").agg(rho.alias("_rho")).select(held.alias("_strength"))
     a = F.col("_bad") + F.col("_prior") * F.col("_strength")
     n = F.col("_all") + F.col("_strength")
     return joined.join(F.broadcast(strength)).select(child, (a / n).alias("_mean"), n.alias("_weight"), "_bad", "_all", "_strength")

@@ -270,3 +270,11 @@ def test_toxic_stems_of_a_rare_language_and_short_terms_are_learnt():
         found = [model.score(texts[i]) >= 0.5 for i in of if kinds[i][0]]
         false = [model.score(texts[i]) >= 0.5 for i in of if not kinds[i][0]]
         assert len(found) > 5 and np.mean(found) >= 0.9 and np.mean(false) <= 0.05
+
+
+def test_like_hosts_get_the_strongest_prior(spark):
+    # a quarter of the outcomes is bad, spread no more than by chance; one host has 4 of 4
+    outcomes = [(f"h{k}.x.net", j == 0) for k in range(60) for j in range(4)] + [("all.x.net", True)] * 4
+    got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(outcomes, "host string, bad boolean")).collect()}
+    assert len(got) == 61 and got["all.x.net"].bad_mean < 0.3
+    assert got["all.x.net"].bad_mean - 1.64 * got["all.x.net"].bad_sd < 0.5

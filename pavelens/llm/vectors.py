@@ -31,13 +31,14 @@ def unit_vectors(detections: DataFrame, det: str, label: str, vector: str) -> Da
     return rows.withColumn("_len", length).select("_det", "_label", F.transform("_v", lambda x: x / F.col("_len")).alias("_unit"))
 
 
-def pivot_lists(units: DataFrame, pivots: int, nearest: int, fit_rows: int) -> DataFrame:
+def pivot_lists(units: DataFrame, pivots: int, nearest: int, shared: int, fit_rows: int) -> DataFrame:
     """Every unit vector once per entry of its pivot permutation: ``_pivot`` and ``_perm``, the ordered nearest pivots."""
     draw = units.select("_unit", F.xxhash64("_det", F.lit("pivot")).alias("_h")).orderBy("_h").limit(fit_rows).toArrow().column("_unit").to_pylist()
     by_size: dict[int, list] = {}
     for v in draw:
         by_size.setdefault(len(v), []).append(v)
-    points = {n: _spread(np.array(v), pivots) for n, v in by_size.items()}
+    # with fewer points than a list holds two vectors may share too few of them, however alike
+    points = {n: _spread(np.array(v), pivots) for n, v in by_size.items() if len(v) >= max(nearest, shared)}
     kind = units.schema["_det"].dataType.simpleString(), units.schema["_label"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +47,7 @@ def pivot_lists(units: DataFrame, pivots: int, nearest: int, fit_rows: int) -> D
             perm = []
             for v in lists:
                 p = points.get(len(v))
-                # vectors of a length that the sample lacks share one list and are all compared
+                # vectors of a length that the sample lacks or hardly has share one list and are all compared
                 perm.append(np.argsort(-(p @ np.array(v)), kind="stable")[:nearest].astype(np.int32).tolist() if p is not None else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(perm, pa.list_(pa.int32()))], [*batch.schema.names, "_perm"])
 
@@ -122,7 +123,7 @@ def near_copy_detections(
     free(det, "n_links", "component_id", "kept")
     rows = need(detections, det, label, vector)
     kind = rows.schema[det].dataType.simpleString()
-    lists = stage(pivot_lists(unit_vectors(rows.dropDuplicates([det]), det, label, vector), pivots, nearest, fit_rows), "pivots")
+    lists = stage(pivot_lists(unit_vectors(rows.dropDuplicates([det]), det, label, vector), pivots, nearest, shared, fit_rows), "pivots")
     group = ["_label", "_pivot"]
 
     def verify(table: pa.Table) -> pa.RecordBatch | None:

@@ -278,3 +278,15 @@ def test_like_hosts_get_the_strongest_prior(spark):
     got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(outcomes, "host string, bad boolean")).collect()}
     assert len(got) == 61 and got["all.x.net"].bad_mean < 0.3
     assert got["all.x.net"].bad_mean - 1.64 * got["all.x.net"].bad_sd < 0.5
+
+
+def test_near_copies_of_a_length_that_is_drawn_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, "a", rng.normal(size=8).tolist()) for k in range(300)]
+    v = rng.normal(size=5)
+    rows += [(1000 + k, "a", (v * (k + 1)).tolist()) for k in range(40)]  # 40 of 340, of which a draw of 12 holds few
+    df = spark.createDataFrame(rows, "det_id long, class_name string, embedding array<double>")
+    drawn = df.orderBy(F.xxhash64("det_id", F.lit("pivot"))).limit(16).where("size(embedding) = 5").count()
+    assert drawn == 1
+    got = [r for r in vectors.near_copy_detections(df, fit_rows=16).collect() if r.det_id >= 1000]
+    assert [(r.n_links, r.component_id) for r in got] == [(39, 1000)] * 40

@@ -17,12 +17,15 @@ def fit_on_sample(
     """What ``fit(texts, labels, log odds of label 1 among all labels less those in the sample)`` makes of whole labelled messages.
 
     At most ``rows_per_class`` messages of label 0 and 1 are taken, those of smallest key hash; beyond that bound more input changes neither
-    the cost of fitting nor the size of the model. Keys of the sample are broadcast: their number is bounded.
+    the cost of fitting nor the size of the model. Keys of the sample are broadcast: their number is bounded. Of rows that repeat a key the message of
+    smallest hash stands for it, chosen before the rows meet.
     """
     given = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label")).where("_key is not null and _label in (0, 1)").dropDuplicates(["_key"])
     totals = {r["_label"]: r["n"] for r in given.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = [given.where(F.col("_label") == k).orderBy(F.xxhash64("_key"), "_key").limit(n) for k, n in enumerate(rows_per_class)]
     sample = events.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{message}`").alias("_text")).join(F.broadcast(taken[0].unionByName(taken[1])), "_key")
+    one = F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text", "_label")).alias("_one")
+    sample = sample.groupBy("_key").agg(one).select("_key", "_one._text", "_one._label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []

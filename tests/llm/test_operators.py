@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from .conftest import ALNUM, ODD, low
-from pavelens.llm import bpe, decontam, jaccard, quality, secrets, substrings, tokenfiles, toxicity, urls, vectors, words
+from pavelens.llm import bpe, decontam, fitting, jaccard, quality, secrets, substrings, tokenfiles, toxicity, urls, vectors, words
 
 EVENTS = "event_id long, message string, n_tokens_2 string, _key string"
 
@@ -290,3 +290,10 @@ def test_near_copies_of_a_length_that_is_drawn_once(spark):
     assert drawn == 1
     got = [r for r in vectors.near_copy_detections(df, fit_rows=16).collect() if r.det_id >= 1000]
     assert [(r.n_links, r.component_id) for r in got] == [(39, 1000)] * 40
+
+
+def test_a_repeated_key_is_fitted_once(spark):
+    df = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (3, None), (4, "unlabelled")], "k long, t string").repartition(6)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "k long, y int")
+    texts, y = fitting.fit_on_sample(df, labels, "k", "t", "y", (10, 10), lambda texts, y, shift: (texts, y.tolist()))
+    assert len(texts) == 3 and y == [1, 0, 0] and texts[1:] == [b"b", b""]

@@ -113,7 +113,7 @@ def near_copy_detections(
     How: reference points are drawn from at most ``fit_rows`` vectors; every vector is described by its ``nearest`` nearest reference points in order. Vectors of
     one class that stand in one pivot's list and share at least ``shared`` pivots are verified by cosine. A link is counted in the list of the first pivot that both
     share, so each is counted once, and lists are compared in blocks that emit counts and one edge per member, never pairs.
-    The index is approximate: it may miss links, its recall is measured against brute force in the tests (1.0 on the test tables). Every
+    The index is approximate: it may miss links, its recall is measured against brute force in the tests (2,726 of 2,726 on their made-up vectors). Every
     row is indexed, no list is cut.
 
     Vectors that are null, zero or hold null or non-finite components, rows with a null class and rows with a null ``det`` link with nothing and stay their own

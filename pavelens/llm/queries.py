@@ -148,3 +148,24 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
     scored = score_toxicity(messages(spark, sf), toxicity_model(spark, sf))
     return scored.select(F.col("event_id").alias("doc_id"), fold("event_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The faults that every conversation gets by the CRC-32 of its id and turn; ``_n`` copies of a row stand next to each other."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(h == 0, 0).when(h == 3, 2).otherwise(1)))
+    return conversations.select("conv_id", "turn", F.when(h == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), copies.alias("_n"))
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from .logs import LogForm, audit_event_logs, log_digests, repair_event_logs
+
+    talks = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    pieces = repair_event_logs(damaged(talks), "conv_id", "turn", "role", "text", LogForm("system", "user", "assistant"))
+    digests = log_digests(pieces, "conv_id").select(F.col("conv_id").alias("_id"), "digest")
+    audits = audit_event_logs(pieces, "conv_id", of=talks)
+    found = audits.join(digests, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return found.select(*audits.columns, F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))

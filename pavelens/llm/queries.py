@@ -169,3 +169,58 @@ def op11_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
     audits = audit_event_logs(pieces, "conv_id", of=talks)
     found = audits.join(digests, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
     return found.select(*audits.columns, F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    from .negatives import mine_hard_negatives
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    given = rows.select(F.col("vec_id").alias("det_id"), label.alias("class_name"), "embedding", (F.col("vec_id") % 50 == 0).alias("is_anchor"))
+    return mine_hard_negatives(given)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS alike,
+         list_sum([z[1] * z[2] FOR z IN list_zip(a.v, r.v)])::BIGINT AS score
+  FROM given a JOIN given r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from ..session import shared_dir
+    from .archives import archive_frames, read_archives
+
+    folder = f"{shared_dir(spark)}/llm-archives-{uuid.uuid4().hex}"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    archive_frames(pages.select(F.col("page_id").alias("frame_id"), F.col("url").alias("image_path"), F.col("html").alias("document")), folder)
+    found = read_archives(spark, folder)
+    return found.select(
+        F.col("frame_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "intact",
+    )
+
+
+ORACLES["op13_warc"] = """
+WITH given AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS top FROM given)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, true AS intact
+FROM sized
+"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import count
+import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,50 +231,99 @@ def confident_masks(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     return candidates.where(F.col("score") >= threshold)
 
 
-def _iou() -> Column:
-    ix = F.least(F.col("x") + F.col("w"), F.col("_x") + F.col("_w")) - F.greatest("x", "_x")
-    iy = F.least(F.col("y") + F.col("h"), F.col("_y") + F.col("_h")) - F.greatest("y", "_y")
+def _iou(a: str = "", b: str = "_") -> Column:
+    """Overlap of the boxes in columns x, y, w, h with prefix ``a`` and those with prefix ``b``."""
+    at = lambda p, c: F.col(f"{p}{c}")
+    ix = F.least(at(a, "x") + at(a, "w"), at(b, "x") + at(b, "w")) - F.greatest(at(a, "x"), at(b, "x"))
+    iy = F.least(at(a, "y") + at(a, "h"), at(b, "y") + at(b, "h")) - F.greatest(at(a, "y"), at(b, "y"))
     inter = F.greatest(ix, F.lit(0)) * F.greatest(iy, F.lit(0))
-    union = F.col("w") * F.col("h") + F.col("_w") * F.col("_h") - inter
+    union = at(a, "w") * at(a, "h") + at(b, "w") * at(b, "h") - inter
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
+def _clique_cell(width: float) -> list[Column]:
+    """Cell of a box in position and size; two boxes of one cell differ by an overlap distance of at most ``width``."""
+    if width <= 0:
+        return [F.col(c).alias(f"_c{c}") for c in "xywh"]
+    k = math.sqrt(2 * (1 - width) / (2 - width))
+    g = (1 - k) / (1 + k)
+    out = []
+    for at, side in (("x", "w"), ("y", "h")):
+        size = F.floor(F.log(F.col(side)) / math.log1p(g))
+        out += [size.alias(f"_c{side}"), F.floor(F.col(at) / (F.pow(F.lit(1 + g), size) * g)).alias(f"_c{at}")]
+    return out
+
+
+def _grid(boxes: DataFrame, levels: int, prefix: str = "") -> DataFrame:
+    """Boxes in the grid of their own size (``home``) and in those of up to ``levels`` sizes above: at most four cells each.
+
+    Of two boxes that overlap by more than 2 ** -levels, the smaller one is also in the grid of the larger one.
+    """
+    col = lambda c: F.col(f"{prefix}{c}")
+    own, level = f"{prefix}own", f"{prefix}level"
+    out = boxes.withColumn(own, F.floor(F.log2(F.greatest(col("w"), col("h")))).cast("int"))
+    out = out.withColumn(level, F.explode(F.sequence(F.col(own), F.col(own) + levels)))
+    size = F.pow(F.lit(2.0), F.col(level) + 1)
+    cells = lambda at, side: F.explode(F.sequence(F.floor(col(at) / size), F.floor((col(at) + col(side)) / size)))
+    out = out.withColumn(f"{prefix}gx", cells("x", "w")).withColumn(f"{prefix}gy", cells("y", "h"))
+    return out.withColumn(f"{prefix}home", F.col(level) == F.col(own)).drop(own)
+
+
 def nms(
     det: DataFrame, keys: list[str], conf: float = 0.5, iou: float = 0.45, k: int | None = None, per_class: bool = True
 ) -> DataFrame:
-    """Greedy suppression: boxes by confidence, none overlapping a better kept one; with ``k``, the k best per frame.
+    """Greedy suppression: boxes by confidence, none overlapping a better kept one by more than ``iou``; with ``k``, the k best per frame.
+
+    Needs x, y, w, h, confidence, class and a unique det_idx per frame. Boxes without area overlap nothing and stay. Identical boxes
+    are collapsed first (the best copy stands for all: they are suppressed together or by it).
 
-    Needs x, y, w, h, confidence, class and a unique det_idx per frame. Identical boxes
-    are collapsed first (the best copy stands for all: they are suppressed together or
-    by it). Each round then takes the best open box of every (frame, class), and removes
-    what it overlaps. Groups are only aggregated and joined to one box each, never collected; there are as many
-    rounds as boxes kept in one group, at most k if it is given.
+    A round keeps every open box that no better open box may overlap, and removes what those overlap, so rounds follow the longest chain of ever better
+    neighbours, not the number of boxes kept. Open boxes are represented by the best one of each cell of position and size whose boxes all overlap
+    by more than ``iou``: overlap distance is a metric, so a representative that overlaps a box by less than ``iou`` minus the width of a cell speaks for its cell. Representatives meet on
+    grids by size and only ask whether a better one is there; no pairs are formed, and a group of any size has a bounded number of cells around a box.
     """
     by = [*keys, "class"] if per_class else list(keys)
     rank = F.struct(F.col("confidence"), -F.col("det_idx"))
     payload = [c for c in det.columns if c not in {*by, "x", "y", "w", "h"}]
-    open_ = cut(
-        det.where(F.col("confidence") >= conf)
-        .groupBy(*by, "x", "y", "w", "h")
-        .agg(F.max_by(F.struct(*payload), rank).alias("_p"))
-        .select(*by, "x", "y", "w", "h", "_p.*")
-    )
-    kept = None
-    for i in count() if k is None else range(k):
-        full = F.struct("x", "y", "w", "h", *payload)
-        top = open_.groupBy(*by).agg(F.max_by(full, rank).alias("_t"), F.count(F.lit(1)).alias("_n"))
-        top = cut(top)
-        if top.isEmpty():
-            break
-        picked = top.select(*by, "_t.*").withColumn("_round", F.lit(i))
-        kept = picked if kept is None else kept.unionByName(picked)
-        more = top.where(F.col("_n") > 1)
-        winner = more.select(*by, *[F.col(f"_t.{c}").alias(f"_{c}") for c in ("x", "y", "w", "h", "det_idx")])
-        left = salted_join(open_, winner, by, counts=more.select(*by, "_n"))
-        open_ = cut(left.where((F.col("det_idx") != F.col("_det_idx")) & (_iou() <= iou)).select(*open_.columns))
-    if kept is None:
-        return det.limit(0)
+    sure = det.where(F.col("confidence") >= conf)
+    kept = sure if iou >= 1 else _suppress(sure, by, payload, rank, iou)
     if k is None:
         return kept.select(*det.columns)
     w = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), F.col("det_idx"))
     return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(*det.columns)
+
+
+def _suppress(det: DataFrame, by: list[str], payload: list[str], rank: Column, iou: float) -> DataFrame:
+    area = (F.col("w") > 0) & (F.col("h") > 0)
+    kept = det.where(~F.coalesce(area, F.lit(False)))
+    best = det.where(area).groupBy(*by, "x", "y", "w", "h").agg(F.max_by(F.struct(*payload), rank).alias("_p"))
+    open_ = cut(best.select(*by, "x", "y", "w", "h", "_p.*"))
+    width = min(1 - iou, iou) / 2
+    near = iou - width
+    if near > 0:
+        levels = math.floor(-math.log2(near)) + 1
+    else:  # any overlap counts, whatever the sizes
+        top = F.log2(F.greatest("w", "h"))
+        span = open_.agg(F.min(top).alias("a"), F.max(top).alias("b")).first()
+        levels = 0 if span["a"] is None else math.floor(span["b"]) - math.floor(span["a"])
+    box = ["x", "y", "w", "h", "confidence", "det_idx"]
+    renamed = lambda df, columns: df.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    alike = lambda columns: functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    meet = alike([*by, "level", "gx", "gy"]) & (F.col("home") | F.col("_home"))
+    better = (F.col("_confidence") > F.col("confidence")) | ((F.col("_confidence") == F.col("confidence")) & (F.col("_det_idx") < F.col("det_idx")))
+    ids = [*by, "det_idx"]
+
+    def given(df: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        return df.join(renamed(of, ids), alike(ids), how)
+
+    while not open_.isEmpty():
+        cells = open_.groupBy(*by, *_clique_cell(width)).agg(F.max_by(F.struct(*box), rank).alias("_t"))
+        tops = cut(cells.select(*by, "_t.*"))
+        them = _grid(renamed(tops, [*by, *box]), levels, "_")
+        waiting = _grid(tops, levels).join(them, meet & better & (_iou() > near - 1e-9), "left_semi").select(*ids).distinct()
+        won = cut(given(tops, waiting, "left_anti"))
+        over = _grid(renamed(won, [*by, *box]), levels, "_")
+        hit = _grid(open_.select(*by, *box), levels).join(over, meet & (F.col("det_idx") != F.col("_det_idx")) & (_iou() > iou), "left_semi")
+        kept = kept.unionByName(given(open_, won, "left_semi").select(*kept.columns))
+        open_ = cut(given(open_, hit.select(*ids).unionByName(won.select(*ids)).distinct(), "left_anti"))
+    return kept

@@ -155,13 +155,13 @@ walk AS (SELECT frame_id, class, rn, [{'x': x, 'y': y, 'w': w, 'h': h}] AS kept,
     SELECT n.*, p.kept, len(list_filter(p.kept, lambda t: greatest(0, least(t.x + t.w, n.x + n.w) - greatest(t.x, n.x)) * greatest(0, least(t.y + t.h, n.y + n.h) - greatest(t.y, n.y))::DOUBLE
       / (t.w * t.h + n.w * n.h - greatest(0, least(t.x + t.w, n.x + n.w) - greatest(t.x, n.x)) * greatest(0, least(t.y + t.h, n.y + n.h) - greatest(t.y, n.y))) > 0.45)) = 0 AS ok
     FROM walk p JOIN k n ON n.frame_id = p.frame_id AND n.class = p.class AND n.rn = p.rn + 1))
-SELECT frame_id, class, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, det_idx) AS q FROM walk WHERE ok) WHERE q <= 8""")
+SELECT frame_id, class, det_idx FROM walk WHERE ok""")
 def nms(spark, sf):
     k = F.col("o_orderkey")
     b = table(spark, sf, "orders").select(
         k.alias("det_idx"), (F.col("o_custkey") % 64).alias("frame_id"), F.col("o_orderstatus").alias("class"), (k % 37).cast("int").alias("x"), (k % 23).cast("int").alias("y"),
         ((k % 5) + 20).cast("int").alias("w"), ((k % 3) + 16).cast("int").alias("h"), (F.col("o_totalprice") / 450000).alias("confidence"))
-    return dt.nms(b, ["frame_id"], k=8).select("frame_id", "class", "det_idx")
+    return dt.nms(b, ["frame_id"]).select("frame_id", "class", "det_idx")
 
 
 # Masks ------------------------------------------------------------------------

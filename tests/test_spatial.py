@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pavelens.functions import camera as cam, geo, polygons as pg
 from pavelens.operators import detection as dt, graph, grouping as gp, joins, passes as ps, points as pt
 from pavelens.operators.points import exact_percentiles
+from pavelens.session import cut
 
 
 def _hav(a, b, c, d):
@@ -184,3 +186,40 @@ def test_points_on_their_own_plane_have_no_depth(spark):
     assert abs(-again["a"] / again["c"] - 0.3) < 1e-9 and abs(-again["b"] / again["c"] + 0.2) < 1e-9 and abs(-again["d"] / again["c"] - 4.0) < 1e-9
     got = pt.depth_stats(deep, pt.refit_plane(deep, plane, ["det"]), ["det"]).first()
     assert abs(got["max_depth_m"] - 0.1) < 1e-9 and abs(got["quality"] - 1 / 71) < 1e-12
+
+
+def _suppressed_plainly(boxes, iou):
+    """Kept (frame, det) of (frame, class, det, x, y, w, h, confidence) boxes, box by box."""
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[7], b[2])):
+        def over(a):
+            ix = max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+            iy = max(0, min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]))
+            union = a[5] * a[6] + b[5] * b[6] - ix * iy
+            return ix * iy / union if union > 0 else 0.0
+        if not any(a[:2] == b[:2] and over(a) > iou for a in kept):
+            kept.append(b)
+    return sorted((b[0], b[2]) for b in kept)
+
+
+@pytest.mark.parametrize("iou", [0.0, 0.05, 0.45, 0.9, 1.0])
+def test_nms_equals_the_sequential_rule(spark, iou):
+    rnd = random.Random(int(iou * 100))
+    boxes = []
+    for i in range(220):
+        big = rnd.choice([1, 1, 6])
+        boxes.append((i % 3, rnd.choice(["a", "b"]), i, rnd.uniform(-60, 60), rnd.uniform(0, 40), rnd.uniform(8, 14) * big, rnd.uniform(8, 14) * big, rnd.choice([0.6, 0.7, rnd.uniform(0.5, 1)])))
+    boxes += [(0, "a", 900, 5.0, 5.0, 0.0, 4.0, 0.9), (0, "a", 901, 5.0, 5.0, 0.0, 4.0, 0.9), (0, "a", 902, *boxes[0][3:7], 0.99)]
+    det = spark.createDataFrame(boxes, "frame_id int, class string, det_idx int, x double, y double, w double, h double, confidence double")
+    got = sorted((r["frame_id"], r["det_idx"]) for r in dt.nms(det, ["frame_id"], iou=iou).collect())
+    assert got == _suppressed_plainly(boxes, iou)
+
+
+def test_nms_rounds_do_not_follow_the_boxes_kept(spark, monkeypatch):
+    rnd = random.Random(3)
+    boxes = [(1, "a", i, 30.0 * (i % 60) + rnd.uniform(0, 9), 30.0 * (i // 60) + rnd.uniform(0, 9), 20.0, 20.0, rnd.uniform(0.5, 1)) for i in range(3600)]
+    det = spark.createDataFrame(boxes, "frame_id int, class string, det_idx int, x double, y double, w double, h double, confidence double")
+    cuts = []
+    monkeypatch.setattr(dt, "cut", lambda df: cuts.append(1) or cut(df))
+    assert dt.nms(det, ["frame_id"]).count() > 3000
+    assert len(cuts) <= 1 + 3 * 8

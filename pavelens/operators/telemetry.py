@@ -202,7 +202,7 @@ def gps_health(samples: DataFrame) -> DataFrame:
     return gps_score(gps_sums(step))
 
 
-def gps_sums(step: DataFrame) -> DataFrame:
+def gps_sums(step: DataFrame, keys=("session_id",)) -> DataFrame:
     """Per-session sums over samples that carry the previous sample as _p."""
     data, prev = F.col("data"), F.col("_p.data")
     dt = F.col("time_sec") - F.col("_p.time_sec")
@@ -214,7 +214,7 @@ def gps_sums(step: DataFrame) -> DataFrame:
     measured = at(data, 3)
     error = F.when((measured > MOVING_MS) | (derived > MOVING_MS), F.abs(derived - measured))
     ok = dt > 0
-    return step.groupBy("session_id").agg(
+    return step.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.coalesce(F.sum(F.when(ok, error)), F.lit(0.0)).alias("err_sum"),
         F.count(F.when(ok, error)).alias("err_n"),
@@ -244,18 +244,29 @@ def gps_score(sums: DataFrame) -> DataFrame:
     )
 
 
-def imu_health(samples: DataFrame) -> DataFrame:
-    """Mean deviation of the gravity magnitude from 1 and a 0-100 score per session."""
+def grav_sums(samples: DataFrame, keys=("session_id",)) -> DataFrame:
+    """Count of gravity samples and sum of the deviation of their magnitude from 1."""
     x, y, z = (F.get("data", F.lit(i)) for i in range(3))
     error = F.abs(1.0 - F.sqrt(x * x + y * y + z * z))
-    agg = samples.where(F.col("stream") == "GRAV").groupBy("session_id").agg(F.avg(error).alias("_e"))
-    return agg.select(
+    found = samples.where(F.col("stream") == "GRAV").groupBy(*keys)
+    return found.agg(F.sum(error).alias("grav_sum"), F.count(error).alias("grav_n"))
+
+
+def imu_score(sums: DataFrame) -> DataFrame:
+    """Mean deviation and a 0-100 score from ``grav_sums``; the sums of parts add up."""
+    error = F.col("grav_sum") / F.col("grav_n")
+    return sums.select(
         "session_id",
-        F.round("_e", 4).alias("avg_grav_mag_error"),
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("_e") * 200)).alias("imu_score"),
+        F.round(error, 4).alias("avg_grav_mag_error"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - error * 200)).alias("imu_score"),
     )
 
 
+def imu_health(samples: DataFrame) -> DataFrame:
+    """Mean deviation of the gravity magnitude from 1 and a 0-100 score per session."""
+    return imu_score(grav_sums(samples))
+
+
 def health_warnings(report: DataFrame) -> DataFrame:
     """Add the list of triggered warnings to a joined health report."""
     msgs = F.array(

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, need
+from .common import free, give_back, lean, need
 from .words import Words, gathered, ragged, split
 
 #: Text handled at a time by one task; only memory depends on it.
@@ -50,6 +50,25 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=2)
+def _piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The id-to-piece table as bytes: all pieces with a space behind each, where each starts, and its length (0: no such id)."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    known = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+    known[list(vocab.values())] = True
+    table = [p + b" " if k else b"" for p, k in zip(pieces(path), known)]
+    length = np.array([len(p) for p in table], np.int64)
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length, length
+
+
+def decode_ids(ids: np.ndarray, path: str) -> bytes:
+    """The text that ``ids`` decode to, in UTF-8: their pieces, joined by one space. Ids that the vocabulary lacks are left out."""
+    data, start, length = _piece_bytes(path)
+    ids = ids.astype(np.int64)
+    ids = ids[(ids >= 0) & (ids < len(length))]
+    return data[ragged(start[ids], length[ids])].tobytes()[:-1]
+
+
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words in a row, ids per word)."""
     ends = _ending(path)
@@ -96,13 +115,14 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct word, number of the distinct word at each place)."""
     if not len(words.hash):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code, _ = pd.factorize(words.hash)  # numbered as they come
-    most = np.maximum.accumulate(code)
-    at = np.flatnonzero(np.diff(most, prepend=-1))
+    code, known = pd.factorize(words.hash)  # numbered as they come
+    code = code.astype(np.int32)
+    at = np.zeros(len(known), np.int64)
+    at[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # the first place is written last
     # frequent words get small numbers, which pack well
     order = np.argsort(-np.bincount(code), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return at[order], rank[code]
 
 
@@ -144,8 +164,8 @@ def encode_messages(
 
     How: messages are cut into slices of about 16 MB that list their distinct words and hold, per place, the word's
     number. The lists of all slices meet by word, where each distinct word is encoded once; the ids go
-    back to the slices by number and are laid out by place. Ids are decoded through the id-to-piece table of the
-    vocabulary, whose size does not depend on the input. A word arrives at most once per slice, so no word is hot.
+    back to the slices by number and are laid out by place. The ids of a message are then decoded through the id-to-piece table of the
+    vocabulary (``decode_messages``), whose size does not depend on the input. A word arrives at most once per slice, so no word is hot.
 
     ``events`` must give the same rows in the same order when a task is run again, as a stored table does; if not,
     words without ids raise an error. A null message counts as empty: no tokens, empty text. A null key stays null, repeated rows give
@@ -208,7 +228,7 @@ def encode_messages(
     results = ("ids_sha256 string", "decoded_sha256 string") if digests else ("ids array<int>", "decoded string")
 
     def lay_out(places: pa.Table, given: pa.Table) -> pa.Table:
-        lengths, starts, ids, decoded = _dictionary(given, vocabulary)
+        lengths, starts, ids = _dictionary(given)
         out: list[list] = [[], [], []]
         for places_, counts_ in zip(places.column("places").to_pylist(), places.column("counts").to_pylist()):
             code, ends = _unpack(places_).astype(np.int64), np.cumsum(_unpack(counts_).astype(np.int64))
@@ -218,19 +238,21 @@ def encode_messages(
             for hi in ends.tolist():
                 mine = code[lo:hi]
                 got = ids[ragged(starts[mine], lengths[mine])]
-                text = b" ".join([decoded[c] for c in mine[lengths[mine] > 0].tolist()])
+                text = decode_ids(got, vocabulary)
                 out[0].append(len(got))
                 out[1].append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest() if digests else got.astype(np.int32))
                 out[2].append(hashlib.sha256(text).hexdigest() if digests else text.decode())
                 lo = hi
+        del ids
+        give_back()
         keys = pa.concat_arrays([c.flatten() for c in places.column("keys").chunks])
         types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
         return pa.table([keys, pa.array(out[0], pa.int64()), pa.array(out[1], types[0]), pa.array(out[2], types[1])], [key, "n_tokens", *[r.split()[0] for r in results]])
 
-    words_at = rows.mapInArrow(list_words, "word string, slice string, code int")
+    words_at = rows.mapInArrow(lean(list_words), "word string, slice string, code int")
     # sorted words: equal words are neighbours, so each is encoded once though the memory of known words is bounded
-    given = words_at.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(encode, "slice string, codes binary, lengths binary, ids binary")
-    places = rows.mapInArrow(list_places, f"slice string, places binary, counts binary, keys array<{kind}>")
+    given = words_at.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(lean(encode), "slice string, codes binary, lengths binary, ids binary")
+    places = rows.mapInArrow(lean(list_places), f"slice string, places binary, counts binary, keys array<{kind}>")
     return places.groupBy("slice").cogroup(given.groupBy("slice")).applyInArrow(lay_out, ", ".join([f"`{key}` {kind}", "n_tokens bigint", *results]))
 
 
@@ -243,15 +265,35 @@ def _found(found: dict[str, tuple[list[int], list[bytes]]]) -> pa.RecordBatch:
     )
 
 
-def _dictionary(given: pa.Table, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Of one slice: ids per word (-1: unknown), their start, all ids, decoded words."""
+def _dictionary(given: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice: ids per word (-1: unknown), their start, all ids."""
     columns = [given.column(c).to_pylist() for c in ("codes", "lengths", "ids")]
-    codes, counts, ids = (np.concatenate([_unpack(b) for b in col]).astype(np.int64) if col else np.zeros(0, np.int64) for col in columns)
+    codes, counts, ids = (np.concatenate([_unpack(b) for b in col]) if col else np.zeros(0, np.uint32) for col in columns)
     size = int(codes.max()) + 1 if len(codes) else 0
     lengths, starts = np.full(size, -1, np.int64), np.zeros(size, np.int64)
     lengths[codes] = counts
-    starts[codes] = np.cumsum(counts) - counts
-    table = pieces(vocabulary)
-    named = [table[i] for i in ids.tolist()]
-    decoded = [b" ".join(named[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist())]
-    return lengths, starts, ids.astype(np.uint32), decoded
+    ends = np.cumsum(counts.astype(np.int64))
+    starts[codes] = ends - counts
+    return lengths, starts, ids
+
+
+def decode_messages(tokens: DataFrame, vocabulary: str, key: str = "event_id", ids: str = "ids") -> DataFrame:
+    """Texts of messages that are given as token ids (array of integers), such as the files of ``write_token_files``.
+
+    Returns per row ``key`` and ``decoded``: each id's piece, found by its number in the id-to-piece table of the vocabulary, joined by one space in the order of the
+    ids, as the tokenizers library decodes without a decoder. The table is as large as the vocabulary, whatever the input; ids meet it packed, row by row, without a shuffle.
+
+    Null ids, and ids that the vocabulary lacks, are left out; a null or empty list decodes to an empty text. Null keys and repeated rows are kept; an empty table gives none; further
+    columns are ignored.
+    """
+    free(key, "decoded")
+    rows = need(tokens, key, ids)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(ids)
+            texts = [decode_ids(np.array([x for x in v.as_py() if x is not None], np.int64), vocabulary).decode() if v.is_valid else "" for v in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string())], [key, "decoded"])
+
+    return rows.mapInArrow(lean(decode), f"`{key}` {kind}, decoded string")

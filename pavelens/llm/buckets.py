@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Members, and units of their weight, that one block of a bucket holds at most; a task compares two blocks.
 BLOCK_ROWS = 2048
 BLOCK_WEIGHT = 1 << 20
@@ -58,7 +60,7 @@ def by_group(df: DataFrame, group: list[str], fn: Callable[[pa.Table], pa.Record
             if got is not None:
                 yield got
 
-    return df.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
+    return df.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(run), schema)
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

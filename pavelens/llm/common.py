@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after which the worker gives freed memory back: Spark keeps workers for later stages, which would add theirs to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only ``columns``, so that further columns of the caller never clash with ours."""
     missing = [c for c in columns if c not in df.columns]
@@ -50,4 +76,4 @@ def judge(rows: DataFrame, text: str, fields: str, fn: Callable[[pa.RecordBatch]
         for batch in gathered(batches, text, limit):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fn(batch), kind.names)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .buckets import blocks, by_group, local_roots
-from .common import free, need, stage
+from .common import free, lean, need, stage
 from .words import gathered, mix, ragged, split, windows
 
 SHINGLE = 5
@@ -78,7 +78,7 @@ def shingle_sets(rows: DataFrame, image: str, value: str, runs: int, choices: in
                 [image, "_name", "_n", "_sketch", "_paths", "_set"],
             )
 
-    return rows.mapInArrow(make, f"`{image}` {kind}, _name string, _n int, _sketch binary, _paths array<bigint>, _set binary")
+    return rows.mapInArrow(lean(make), f"`{image}` {kind}, _name string, _n int, _sketch binary, _paths array<bigint>, _set binary")
 
 
 def _choose(sets: list[np.ndarray], seeds: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def split_buckets(members: DataFrame, choices: int) -> DataFrame:
                 row, path = _choose([sets[i] for i in mine.tolist()], seed, choices)
                 yield pa.RecordBatch.from_arrays([batch.column("_class").take(pa.array(mine[row])), pa.array(path.view(np.int64)), pa.array(seed[row].view(np.int64))], ["_class", "_path", "_from"])
 
-    return members.select("_class", "_froms", "_sketch").mapInArrow(step, f"_class {kind}, _path bigint, _from bigint")
+    return members.select("_class", "_froms", "_sketch").mapInArrow(lean(step), f"_class {kind}, _path bigint, _from bigint")
 
 
 def leaf_buckets(firsts: DataFrame, sketches: DataFrame, choices: int, depth: int, small: int, dense: float) -> DataFrame:

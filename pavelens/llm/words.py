@@ -113,9 +113,32 @@ def runs(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndar
     return np.flatnonzero(inside & (~before | edge)), np.flatnonzero(before & (~inside | edge))
 
 
+#: Bytes that are looked at in one go; a longer row makes a longer block.
+BLOCK_BYTES = 2 << 20
+
+
 def split(texts: pa.Array, kind: str) -> Words:
-    member, value = KINDS[kind]
+    """Words of all texts. Rows are split in blocks, so that the arrays as long as the bytes stay small."""
     data, off = buffers(texts)
+    rows = len(off) - 1
+    found, lo = [], 0
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK_BYTES, side="right")) - 1)
+        start, end, hashes = _split_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], kind)
+        found.append((start + off[lo], end + off[lo], hashes))
+        lo = hi
+    if len(found) == 1:
+        start, end, hashes = found[0]
+    else:
+        start, end, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    del found
+    first = np.searchsorted(start, off)
+    row = np.repeat(np.arange(rows), np.diff(first))
+    return Words(data, start, end, row, hashes, first, rows)
+
+
+def _split_block(data: np.ndarray, off: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    member, value = KINDS[kind]
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = member[data]
@@ -126,14 +149,11 @@ def split(texts: pa.Array, kind: str) -> Words:
     before = np.concatenate([[False], inside[:-1]])
     start = np.flatnonzero(inside & (~before | edge))
     end = np.flatnonzero(before & (~inside | edge))
-    rows = len(off) - 1
-    first = np.searchsorted(start, off)
-    row = np.repeat(np.arange(rows), np.diff(first))
     hashes = _hash(data, value, start, end)
     if kind == "chunk":  # special tokens of tokenizers are told apart by case
         for i in np.unique(np.searchsorted(start, np.flatnonzero(data == 0x7C), side="right") - 1):
             hashes[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
-    return Words(data, start, end, row, hashes, first, rows)
+    return start, end, hashes
 
 
 def _stops_apart(data: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> np.ndarray:

@@ -48,6 +48,10 @@ def test_bpe_equals_the_library(spark, vocabulary):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want[(i, len(ids), tuple(ids), tok.decode(ids, skip_special_tokens=False))] += 1
     assert Counter((r.event_id, r.n_tokens, tuple(r.ids), r.decoded) for r in got) == want
+    back = bpe.decode_messages(bpe.encode_messages(events(spark, rows), vocabulary).drop("decoded"), vocabulary).collect()
+    assert Counter((r.event_id, r.decoded) for r in back) == Counter((i, d) for (i, _, _, d), n in want.items() for _ in range(n))
+    odd = spark.createDataFrame([(1, [5, None, -3, 10**8, 5]), (2, None), (None, [])], "event_id long, ids array<long>")
+    assert {(r.event_id, r.decoded) for r in bpe.decode_messages(odd, vocabulary).collect()} == {(1, tok.decode([5, 5], skip_special_tokens=False)), (2, ""), (None, "")}
     assert bpe.encode_messages(events(spark, []), vocabulary).count() == 0
     with pytest.raises(ValueError):
         bpe.encode_messages(events(spark, rows), vocabulary, key="n_tokens")

@@ -14,6 +14,7 @@ position, and ``rate * width`` rows when it is a clock.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,20 @@ def series(keys, order, width: float = POSITIONS_PER_BLOCK) -> Series:
     return Series(as_tuple(keys), as_tuple(order), width)
 
 
+@dataclass(frozen=True)
+class Steps:
+    """A running sum of ``between(before, here)`` over the rows where the struct ``at`` is not null.
+
+    ``start`` stands before the first such row; without it that row adds nothing. ``before`` may name a further column: the sum
+    at the previous row of the series, null on its first row.
+    """
+
+    at: Column
+    between: Callable[[Column, Column], Column]
+    start: Column | None = None
+    before: str | None = None
+
+
 def scan(
     df: DataFrame,
     s: Series,
@@ -64,6 +79,7 @@ def scan(
     next_fills: dict | None = None,
     number: str | None = None,
     totals: dict | None = None,
+    steps: dict | None = None,
 ) -> DataFrame:
     """Add ordered-scan columns to ``df``; every dict maps new name -> expression.
 
@@ -75,6 +91,10 @@ def scan(
     number          name of a dense 0-based position
     totals          (kind, expression) over the whole series; kind is one of
                     count, sum, min, max, first, last
+    steps           ``Steps``: running sum of a function of each row and the one before it
+
+    Rows are read twice: once for the blocks, once for the row per block that carries values across borders. Scans that build on each other double
+    that, so ``steps`` takes the place of lags with sums over them.
     """
     lags, leads, sums, mins = lags or {}, leads or {}, sums or {}, mins or {}
     fills, befores, next_fills, totals = fills or {}, befores or {}, next_fills or {}, totals or {}
@@ -153,7 +173,32 @@ def scan(
         outputs[name] = F.col(got)
 
     rows = rows.select("*", *inputs)
+    stepped = steps or {}
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    for name, e in stepped.items():
+        at, run = f"_step_at_{name}", f"_step_run_{name}"
+        rows = rows.withColumn(at, e.at)
+        rows = rows.withColumn(f"_step_prev_{name}", F.last(at, ignorenulls=True).over(earlier))
+        own = F.when(F.col(at).isNotNull() & F.col(f"_step_prev_{name}").isNotNull(), e.between(F.col(f"_step_prev_{name}"), F.col(at)))
+        rows = rows.withColumn(run, F.sum(F.coalesce(own, F.lit(0))).over(upto)).withColumn(f"_step_on_{name}", F.coalesce(at, f"_step_prev_{name}").isNotNull())
+        if e.before:
+            rows = rows.withColumn(f"_step_was_{name}", F.lag(F.struct(F.col(run).alias("run"), F.col(f"_step_on_{name}").alias("on"))).over(w))
+        known = F.when(F.col(at).isNotNull(), order)
+        aggs += [F.min_by(at, known).alias(f"_step_first_{name}"), F.max_by(at, known).alias(f"_step_last_{name}"), F.max_by(run, order).alias(f"_step_sum_{name}")]
+        carries += [F.col(f"_step_{c}_{name}") for c in ("first", "sum")] + [F.last(f"_step_last_{name}", ignorenulls=True).over(before).alias(f"_step_came_{name}")]
     borders = rows.groupBy(*s.block_keys).agg(*aggs).select(*s.block_keys, *carries)
+    for name, e in stepped.items():
+        came = F.col(f"_step_came_{name}")
+        came = came if e.start is None else F.coalesce(came, e.start)
+        link = F.when(came.isNotNull() & F.col(f"_step_first_{name}").isNotNull(), e.between(came, F.col(f"_step_first_{name}")))
+        borders = borders.withColumn(f"_step_link_{name}", F.coalesce(link, F.lit(0)))
+        # the same sums in the same order as on rows, so that the last row of a block and the next block's start agree to the bit
+        borders = borders.withColumn(f"_step_base_{name}", F.sum(F.col(f"_step_link_{name}") + F.col(f"_step_sum_{name}")).over(before))
+        value = lambda run, on, n=name: F.coalesce(F.col(f"_step_base_{n}"), F.lit(0)) + (F.when(on, F.col(f"_step_link_{n}")).otherwise(0) + run)
+        outputs[name] = value(F.col(f"_step_run_{name}"), F.col(f"_step_on_{name}"))
+        if e.before:
+            was = F.col(f"_step_was_{name}")
+            outputs[e.before] = F.when(was.isNotNull(), value(was["run"], was["on"])).otherwise(F.col(f"_step_base_{name}"))
     joined = rows.join(borders, s.block_keys)
     kept = [c for c in df.columns if c not in outputs]
     return joined.select(*[F.col(f"`{c}`") for c in kept], *[e.alias(n) for n, e in outputs.items()])

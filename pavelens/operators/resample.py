@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .blocks import SECONDS_PER_BLOCK, series, scan
 from .joins import asof
 
@@ -28,7 +29,8 @@ def _segments(samples: DataFrame, keys: list[str], on: str, cols: list[str], wid
         F.col("_h") > 0,
         F.struct(F.col("_h").alias("h"), *[F.try_divide(F.col(f"_nx.{c}") - F.col(c), "_h").alias(c) for c in cols]),
     )
-    around = scan(here.withColumn("_m", slopes), s, lags={"_ml": F.col("_m")}, leads={"_mr": F.col("_m")})
+    slim = cut(here.select(*keys, on, *cols, "_n", slopes.alias("_m")))
+    around = scan(slim, s, lags={"_ml": F.col("_m")}, leads={"_mr": F.col("_m")})
     return around.where(F.col("_m").isNotNull())
 
 
@@ -67,7 +69,7 @@ def pchip_resample(
             _inner_slope(m["h"], mr["h"], m[c], mr[c])
         )
         fields += [F.col(c).alias(f"y_{c}"), m[c].alias(f"m_{c}"), start.alias(f"a_{c}"), stop.alias(f"b_{c}")]
-    got = _on_segment(targets, seg.select(*keys, on, F.struct(*fields).alias("_seg")), keys, on, width)
+    got = _on_segment(targets, cut(seg.select(*keys, on, F.struct(*fields).alias("_seg"))), keys, on, width)
     out = []
     for c in cols:
         g = F.col("_s")
@@ -96,7 +98,7 @@ def linear_resample(
     fields = [F.col(on).alias("t"), m["h"].alias("h")]
     for c in cols:
         fields += [F.col(c).alias(f"y_{c}"), m[c].alias(f"m_{c}")]
-    got = _on_segment(targets, seg.select(*keys, on, F.struct(*fields).alias("_seg")), keys, on, width)
+    got = _on_segment(targets, cut(seg.select(*keys, on, F.struct(*fields).alias("_seg"))), keys, on, width)
     g = F.col("_s")
     s = F.col(on) - g["t"]
     if edge == "clamp":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Series, scan, with_halo
+from .blocks import Series, Steps, scan, with_halo
 
 GAUSSIAN_TRUNCATE = 4.0
 
@@ -73,13 +73,15 @@ def gaussian_smooth(df: DataFrame, s: Series, cols: list[str], sigma, mode: str
 def unwrap(df: DataFrame, s: Series, col: str, out: str) -> DataFrame:
     """Remove jumps of more than pi from an angle in radians."""
     pi, two_pi = F.lit(np.pi), F.lit(2 * np.pi)
-    step = scan(df, s, lags={"_prev": F.col(col)})
-    d = F.col(col) - F.col("_prev")
-    folded = F.pmod(d + pi, two_pi) - pi
-    folded = F.when((folded == -pi) & (d > 0), pi).otherwise(folded)
-    fix = F.when(F.abs(d) < pi, 0.0).otherwise(folded - d)
-    total = scan(step.withColumn("_fix", F.coalesce(fix, F.lit(0.0))), s, sums={"_shift": F.col("_fix")})
-    return total.withColumn(out, F.col(col) + F.col("_shift")).drop("_prev", "_fix", "_shift")
+
+    def shift(p: Column, q: Column) -> Column:
+        d = q["v"] - p["v"]
+        folded = F.pmod(d + pi, two_pi) - pi
+        folded = F.when((folded == -pi) & (d > 0), pi).otherwise(folded)
+        return F.when(F.abs(d) < pi, 0.0).otherwise(folded - d)
+
+    total = scan(df, s, steps={"_shift": Steps(F.struct(F.col(col).alias("v")), shift)})
+    return total.withColumn(out, F.col(col) + F.col("_shift")).drop("_shift")
 
 
 def smooth_heading(photos: DataFrame, s: Series, window: int = 5) -> DataFrame:

@@ -192,14 +192,12 @@ def gps_health(samples: DataFrame) -> DataFrame:
     Walks samples in stored order. Steps with dt <= 0 are skipped before anything is
     counted; ratios divide by all samples of the session.
     """
+    of = ["session_id", "stream"]
     gps = samples.where(F.col("stream").isin("GPS9", "GPS5"))
-    present = scan(
-        gps, series("session_id", ("seq", "stream")),
-        totals={"_has9": ("max", (F.col("stream") == "GPS9").cast("int"))},
-    )
-    used = present.where((F.col("stream") == "GPS9") == (F.col("_has9") == 1))
-    step = scan(used, _by_stored_order(), lags={"_p": F.struct("time_sec", "data")})
-    return gps_score(gps_sums(step))
+    sums = gps_sums(scan(gps, _by_stored_order(of), lags={"_p": F.struct("time_sec", "data")}), of)
+    # both kinds of stream are summed; the fixes of GPS9 alone count where a session has it
+    fields = F.struct(*[c for c in sums.columns if c not in of])
+    return gps_score(sums.groupBy("session_id").agg(F.max_by(fields, F.col("stream")).alias("_s")).select("session_id", "_s.*"))
 
 
 def gps_sums(step: DataFrame, keys=("session_id",)) -> DataFrame:

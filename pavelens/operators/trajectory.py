@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing, equirect_xy, haversine
-from .blocks import METERS_PER_BLOCK, Series, index_rows, scan, series
-from .joins import asof, salted_join
+from ..session import cut
+from .blocks import BLOCK, METERS_PER_BLOCK, Series, Steps, index_rows, scan, series
+from .joins import salted_join
 
 HEADING_BASELINE_M = 6.0
 LOCATION_JUMP_M = 50.0
@@ -23,13 +24,13 @@ def local_xy(df: DataFrame, s: Series, lat: str = "lat", lon: str = "lon") -> Da
 def arc_length(df: DataFrame, s: Series, geodesic: bool = False, out: str = "arc_m") -> DataFrame:
     """Cumulative path length over x/y metres, or over lat/lon on the sphere."""
     a, b = ("lat", "lon") if geodesic else ("x", "y")
-    step = scan(df, s, lags={"_p": F.struct(a, b)})
-    if geodesic:
-        d = haversine(F.col("_p.lat"), F.col("_p.lon"), F.col("lat"), F.col("lon"))
-    else:
-        d = F.sqrt(F.pow(F.col("x") - F.col("_p.x"), 2) + F.pow(F.col("y") - F.col("_p.y"), 2))
-    total = scan(step.withColumn("_d", F.coalesce(d, F.lit(0.0))), s, sums={out: F.col("_d")})
-    return total.drop("_p", "_d")
+
+    def between(p: Column, q: Column) -> Column:
+        if geodesic:
+            return haversine(p["lat"], p["lon"], q["lat"], q["lon"])
+        return F.sqrt(F.pow(q["x"] - p["x"], 2) + F.pow(q["y"] - p["y"], 2))
+
+    return scan(df, s, steps={out: Steps(F.struct(a, b), between)})
 
 
 def baseline_heading(df: DataFrame, s: Series, arc: str = "arc_m", baseline: float = HEADING_BASELINE_M) -> DataFrame:
@@ -41,25 +42,17 @@ def baseline_heading(df: DataFrame, s: Series, arc: str = "arc_m", baseline: flo
     keys = list(s.keys)
     point = F.struct(F.col("x"), F.col("y"))
     order = F.struct(*s.order)
-    stops = df.groupBy(*keys, F.col(arc).alias("_arc")).agg(
-        F.min_by(point, order).alias("_first"), F.max_by(point, order).alias("_last")
-    )
-    ends = scan(
-        stops, series(keys, "_arc", METERS_PER_BLOCK),
-        totals={"_start": ("first", F.col("_first")), "_stop": ("last", F.col("_last"))},
-    )
-    behind = asof(
-        ends.withColumn("_at", F.col("_arc") - baseline), stops.withColumnRenamed("_arc", "_at"), keys, "_at",
-        F.col("_last"), METERS_PER_BLOCK, prev="_back", next_="_skip",
-    ).drop("_skip", "_at")
-    ahead = asof(
-        behind.withColumn("_at", F.col("_arc") + baseline), stops.withColumnRenamed("_arc", "_at"), keys, "_at",
-        F.col("_first"), METERS_PER_BLOCK, strict_next=False, prev="_skip", next_="_fwd",
-    )
-    a, b = F.coalesce("_back", "_start"), F.coalesce("_fwd", "_stop")
-    heading = F.pmod(F.degrees(F.atan2(b["x"] - a["x"], b["y"] - a["y"])), F.lit(360.0))
-    found = ahead.select(*keys, F.col("_arc").alias(arc), heading.alias("heading"))
-    return salted_join(df, found, [*keys, arc])
+    stops = cut(df.groupBy(*keys, F.col(arc).alias("_arc")).agg(F.min_by(point, order).alias("_first"), F.max_by(point, order).alias("_last"), F.count(F.lit(1)).alias("_n")))
+    # one series of stops and of the places a baseline ahead (before stops at the same length) and behind (after them)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("t"), F.lit(baseline).alias("d")), F.struct(F.lit(2).alias("t"), F.lit(-baseline).alias("d")))).alias("_side")
+    places = stops.select(*keys, "_arc", sides).select(*keys, (F.col("_arc") + F.col("_side.d")).alias("_at"), F.col("_side.t").alias("_tag"), F.col("_arc").alias("_of"))
+    merged = stops.select(*keys, F.col("_arc").alias("_at"), F.lit(1).alias("_tag"), F.struct("_first", "_last").alias("_stop")).unionByName(places, allowMissingColumns=True)
+    seen = scan(merged, series(keys, ("_at", "_tag", "_of"), METERS_PER_BLOCK), fills={"_back": F.col("_stop")}, next_fills={"_next": F.col("_stop")})
+    seen = seen.where("_tag <> 1")
+    end = F.when(F.col("_tag") == 0, F.coalesce("_next._first", "_back._last")).otherwise(F.coalesce("_back._last", "_next._first"))
+    both = seen.groupBy(*keys, F.col("_of").alias(arc)).agg(F.max(F.when(F.col("_tag") == 2, end)).alias("_a"), F.max(F.when(F.col("_tag") == 0, end)).alias("_b"))
+    heading = F.pmod(F.degrees(F.atan2(F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y"))), F.lit(360.0))
+    return salted_join(df, both.select(*keys, arc, heading.alias("heading")), [*keys, arc], counts=stops.select(*keys, F.col("_arc").alias(arc), "_n"))
 
 
 def sample_by_distance(frames: DataFrame, s: Series, interval: float, time: str = "time_sec", speed: str = "speed") -> DataFrame:
@@ -68,13 +61,10 @@ def sample_by_distance(frames: DataFrame, s: Series, interval: float, time: str
     Speed is clamped at zero and the remainder carried over, so crossings are those of
     a running sum.
     """
-    step = scan(frames, s, lags={"_t": F.col(time)})
-    d = F.greatest(F.col(speed), F.lit(0.0)) * (F.col(time) - F.col("_t"))
-    total = scan(step.withColumn("_d", F.coalesce(d, F.lit(0.0))), s, sums={"driven_m": F.col("_d")})
-    crossed = F.floor(F.col("driven_m") / interval)
-    before = F.floor((F.col("driven_m") - F.col("_d")) / interval)
-    flagged = scan(total.withColumn("_c", crossed), s, lags={"_pc": F.col("_c")})
-    return flagged.where(F.col("_pc").isNull() | (F.col("_c") > F.col("_pc"))).drop("_t", "_d", "_c", "_pc")
+    driven = Steps(F.struct(time, speed), lambda p, q: F.coalesce(F.greatest(q[speed], F.lit(0.0)) * (q[time] - p[time]), F.lit(0.0)), before="_was")
+    total = scan(frames, s, steps={"driven_m": driven})
+    crossed = F.floor(F.col("driven_m") / interval) > F.floor(F.col("_was") / interval)
+    return total.where(F.col("_was").isNull() | crossed).drop("_was")
 
 
 def sample_by_time(frames: DataFrame, s: Series, frame_no: str, step: int) -> DataFrame:
@@ -90,16 +80,22 @@ def sample_by_rate(frames: DataFrame, s: Series, frame_no: str, interval: float)
     since), capped by j + 1; that is a running minimum, not a sequential pick.
     """
     due = F.ceil((F.col(frame_no) + 1) / F.lit(float(interval)))
-    pos = scan(frames, s, number="_j").withColumn("_lead", due - F.col("_j"))
-    low = scan(pos, s, mins={"_low": F.col("_lead")})
-    taken = F.col("_j") + F.least(F.lit(1), F.col("_low"))
-    with_prev = scan(low.withColumn("_c", taken), s, lags={"_pc": F.col("_c")})
-    prev = F.coalesce("_pc", F.lit(0))
-    return (
-        with_prev.where(F.col("_c") > prev)
-        .withColumn("extract_index", prev.cast("long"))
-        .drop("_j", "_lead", "_low", "_c", "_pc")
-    )
+    rows = frames.withColumn(BLOCK, s.block())
+    w = s.rows()
+    here = F.row_number().over(w).cast("long") - 1
+    rows = rows.withColumn("_j", here).withColumn("_lead", due - F.col("_j"))
+    rows = rows.withColumn("_low", F.min("_lead").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a block's positions and its smallest lead count from its start, which borders turn into positions of the series
+    before = Window.partitionBy(*s.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    borders = rows.groupBy(*s.block_keys).agg(F.count(F.lit(1)).alias("_m"), F.min("_lead").alias("_least"))
+    borders = borders.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    borders = borders.withColumn("_floor", F.min(F.col("_least") - F.col("_base")).over(before)).drop("_m", "_least")
+    at = F.col("_base") + F.col("_j")
+    took = lambda j, low: j + F.least(F.lit(1), F.col("_floor"), low)
+    was = F.when(F.col("_j") > 0, took(at - 1, F.col("_was") - F.col("_base"))).when(F.col("_floor").isNotNull(), took(at - 1, F.col("_floor"))).otherwise(0)
+    joined = rows.withColumn("_was", F.lag("_low").over(w)).join(borders, s.block_keys)
+    joined = joined.withColumn("extract_index", was.cast("long"))
+    return joined.where(took(at, F.col("_low") - F.col("_base")) > F.col("extract_index")).select(*frames.columns, "extract_index")
 
 
 def sample_n(frames: DataFrame, s: Series, n: int) -> DataFrame:
@@ -142,12 +138,10 @@ def location_segments(
     """Location label that advances after a jump from the last valid fix; null fixes keep the label."""
     fix = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
     seeded = F.struct(F.lit(last_lat).cast("double").alias("lat"), F.lit(last_lon).cast("double").alias("lon"))
-    step = scan(frames, s, befores={"_p": fix})
-    p = F.coalesce(F.col("_p"), seeded) if last_lat is not None else F.col("_p")
-    moved = haversine(p["lat"], p["lon"], F.col("lat"), F.col("lon")) > jump_m
-    total = scan(step.withColumn("_jump", F.coalesce(moved, F.lit(False)).cast("int")), s, sums={"_jumps": F.col("_jump")})
+    jump = lambda p, q: (haversine(p["lat"], p["lon"], q["lat"], q["lon"]) > jump_m).cast("int")
+    total = scan(frames, s, steps={"_jumps": Steps(fix, jump, seeded if last_lat is not None else None)})
     label = F.concat(F.lit("Location "), (F.col("_jumps") + first_id).cast("string"))
-    return total.withColumn("location", label).drop("_p", "_jump", "_jumps")
+    return total.withColumn("location", label).drop("_jumps")
 
 
 def resume_location(results: DataFrame, keys: list[str], order: str) -> DataFrame:

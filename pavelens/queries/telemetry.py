@@ -155,14 +155,14 @@ FROM num a CROSS JOIN ker JOIN num b ON b.session_id = a.session_id AND b.pos =
 @query("gaussian_smooth_nearest", _smooth_sql("nearest", 3.0))
 def gaussian_smooth_nearest(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", "speed")
-    out = smoothing.gaussian_smooth(f, series("session_id", "frame_idx"), ["speed"], 3.0, "nearest")
+    out = smoothing.gaussian_smooth(f, series("session_id", "frame_idx", 700), ["speed"], 3.0, "nearest")
     return out.withColumn("speed", rnd("speed"))
 
 
 @query("gaussian_smooth_reflect", _smooth_sql("reflect", 15.0))
 def gaussian_smooth_reflect(spark, sf):
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", "speed")
-    out = smoothing.gaussian_smooth(f, series("session_id", "frame_idx"), ["speed"], 15.0, "reflect")
+    out = smoothing.gaussian_smooth(f, series("session_id", "frame_idx", 700), ["speed"], 15.0, "reflect")
     return out.withColumn("speed", rnd("speed"))
 
 
@@ -181,7 +181,7 @@ def _angles(spark, sf):
 @query("unwrap", "WITH " + feeds.FRAMES_SQL + ", " + UNWRAP_SQL + f" SELECT session_id, frame_idx, {r('u')} AS u FROM un")
 def unwrap(spark, sf):
     a = _angles(spark, sf).withColumn("a", F.radians("heading"))
-    return smoothing.unwrap(a, series("session_id", "frame_idx"), "a", "u").select("session_id", "frame_idx", rnd("u").alias("u"))
+    return smoothing.unwrap(a, series("session_id", "frame_idx", 700), "a", "u").select("session_id", "frame_idx", rnd("u").alias("u"))
 
 
 @query("smooth_heading", "WITH " + feeds.FRAMES_SQL + ", " + UNWRAP_SQL + f""", num AS (
@@ -194,7 +194,7 @@ FROM h a JOIN k ON abs(k) <= a.half JOIN h b ON b.session_id = a.session_id AND
 GROUP BY 1, 2
 """)
 def smooth_heading(spark, sf):
-    return smoothing.smooth_heading(_angles(spark, sf), series("session_id", "frame_idx")).withColumn("heading", rnd("heading", 5))
+    return smoothing.smooth_heading(_angles(spark, sf), series("session_id", "frame_idx", 700)).withColumn("heading", rnd("heading", 5))
 
 
 @query("interpolate_index", "WITH " + feeds.FRAMES_SQL + f""", num AS (
@@ -207,8 +207,8 @@ FROM k LEFT JOIN num a ON a.session_id = k.session_id AND a.pos = k.pa LEFT JOIN
 def interpolate_index(spark, sf):
     from ..operators.blocks import scan
     f = feeds.frames(spark, sf).select("session_id", "frame_idx", F.when(F.col("frame_idx") % 4 == 0, F.col("speed")).alias("v"))
-    pos = scan(f, series("session_id", "frame_idx"), number="pos")
-    out = smoothing.interpolate_index(pos, series("session_id", "pos"), "pos", ["v"])
+    pos = scan(f, series("session_id", "frame_idx", 700), number="pos")
+    out = smoothing.interpolate_index(pos, series("session_id", "pos", 9), "pos", ["v"])
     return out.select("session_id", "frame_idx", rnd("v").alias("v"))
 
 

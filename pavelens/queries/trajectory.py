@@ -9,7 +9,8 @@ from . import feeds
 from .registry import query, r, rnd, sql_bearing, sql_hav, table
 
 W = "PARTITION BY session_id ORDER BY frame_idx"
-S = lambda width=200_000: series("session_id", "frame_idx", width)
+# blocks of a few hundred positions, so that sessions cross many borders
+S = lambda width=700: series("session_id", "frame_idx", width)
 
 
 @query("arc_length", "WITH " + feeds.FRAMES_SQL + f""", d AS (

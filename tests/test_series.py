@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pavelens.operators import smoothing, telemetry as tl, trajectory as tr
-from pavelens.operators.blocks import index_rows, scan, series
+from pavelens.operators import resample, smoothing, telemetry as tl, trajectory as tr
+from pavelens.operators.blocks import Steps, index_rows, scan, series
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,50 @@ def test_rate_sampling_with_gaps(spark):
         df = spark.createDataFrame([("s", f) for f in frames], "k string, f long")
         got = tr.sample_by_rate(df, series("k", "f", 60), "f", interval).orderBy("f").collect()
         assert [(r["f"], r["extract_index"]) for r in got] == want
+
+
+def _scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan") + plan.count("Scan ExistingRDD")
+
+
+def test_series_operators_read_their_input_a_few_times(spark, tmp_path):
+    rows = [(k % 3, i, i * 0.5, -32.0 + i * 1e-5, 151.0, 2.0, float(i), 0.0) for k in range(3) for i in range(50)]
+    path = str(tmp_path / "frames")
+    spark.createDataFrame(rows, "k long, i long, t double, lat double, lon double, speed double, x double, y double").write.parquet(path)
+    df, s = spark.read.parquet(path), series("k", "i", 20)
+    samples = df.select(F.col("k").alias("session_id"), F.lit("GPS5").alias("stream"), F.col("i").alias("seq"), F.col("t").alias("time_sec"), F.array("lat", "lon", "speed", "speed").alias("data"))
+    few = {
+        "gps_health": tl.gps_health(samples), "arc_length": tr.arc_length(df, s, geodesic=True), "distance": tr.sample_by_distance(df, s, 5.0, time="t"),
+        "rate": tr.sample_by_rate(df, s, "i", 2.5), "locations": tr.location_segments(df, s), "unwrap": smoothing.unwrap(df, s, "lat", "u"),
+    }
+    assert {n: _scans(d) for n, d in few.items() if _scans(d) > 2} == {}
+    four = {
+        "heading": tr.baseline_heading(df.withColumn("arc_m", F.col("x")), s), "pchip": resample.pchip_resample(df, df.select("k", (F.col("t") + 0.1).alias("t")), ["k"], "t", ["lat"]),
+    }
+    # besides the files they read a narrow table that they have written
+    files = lambda d: d._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert {n: (files(d), _scans(d)) for n, d in four.items() if files(d) > 2 or _scans(d) > 8} == {}
+
+
+@pytest.mark.parametrize("width", [1, 3, 10_000])
+def test_steps_equal_a_loop(spark, width):
+    rnd = random.Random(width)
+    rows = [(k, i, rnd.choice([None, 1.0, 2.5, 7.0]), rnd.random()) for k in range(3) for i in range(60) if rnd.random() < 0.8]
+    df = spark.createDataFrame(rows, "k long, i long, v double, other double")
+    at = F.when(F.col("v").isNotNull(), F.struct("v"))
+    start = F.struct(F.lit(100.0).alias("v"))
+    out = scan(df, series("k", "i", width), steps={"a": Steps(at, lambda p, q: F.abs(q["v"] - p["v"]), before="w"), "b": Steps(at, lambda p, q: q["v"] - p["v"], start)})
+    got = {(r["k"], r["i"]): r for r in out.collect()}
+    assert len(got) == len(rows) and set(out.columns) == {*df.columns, "a", "w", "b"}
+    for k in range(3):
+        a, b, last, was = 0.0, 0.0, None, None
+        for key in sorted(x for x in got if x[0] == k):
+            r = got[key]
+            assert r["w"] == was
+            if r["v"] is not None:
+                a += abs(r["v"] - last) if last is not None else 0
+                b += r["v"] - (last if last is not None else 100.0)
+                last = r["v"]
+            assert r["a"] == pytest.approx(a) and r["b"] == pytest.approx(b)
+            was = r["a"]

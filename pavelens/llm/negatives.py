@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import free, need, stage
 
 #: Rows of a candidate block, of an anchor block, blocks of candidates that one task goes through, and side at which a product is no longer split.
-CANDIDATES, ANCHORS, SHARD_BLOCKS = 4096, 512, 16
+CANDIDATES, ANCHORS, SHARD_BLOCKS = 4096, 512, 4
 LEAF = 16
+#: Tasks of a pass; with more pairs of shards and bundles a task gets several.
+MOST_TASKS = 10_000
 #: Components that a block holds, so that very long vectors make blocks of fewer rows.
 BLOCK_NUMBERS = 4 << 20
 NONE = np.iinfo(np.int64).min
@@ -243,9 +245,12 @@ def mine_hard_negatives(
     spread = pool.select("*", deal("_shard", shards), every("_bundle", bundles))
     keys = ["_dim", "_shard", "_bundle"]
 
+    # a small table is much work: tasks are counted by pairs of blocks, not by bytes
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * shards * bundles, MOST_TASKS))
+
     def meet(left: DataFrame, fn: Callable) -> DataFrame:
         side = left.select("*", deal("_bundle", bundles), every("_shard", shards))
-        return side.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(fn, PIECE)
+        return side.repartition(tasks, *keys).groupBy(*keys).cogroup(spread.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(fn, PIECE)
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         def take(heaps: Heaps, scores, alike, ids, own) -> None:

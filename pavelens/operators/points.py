@@ -15,8 +15,8 @@ DEFAULT_RESOLUTION_M = 0.02
 NOISE_DEPTH_M = 0.005
 MAX_DEPTH_M = 0.4
 
-QUANTILE_BLOCKS = 256
-SMALL_GROUP_ROWS = 200_000
+#: Bins of one histogram.
+BINS = 4096
 
 
 def _hot_join(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -105,52 +105,83 @@ def bev_header(points: DataFrame, resolution: float, keys: list[str]) -> DataFra
     )
 
 
-def exact_percentiles(points: DataFrame, keys: list[str], col: str, shares: list[float]) -> DataFrame:
-    """Exact interpolated percentiles per key without holding a key's values in one task.
+def _bin(v: Column, lo: Column, hi: Column, again: Column) -> Column:
+    """Bin of ``v`` between ``lo`` and ``hi``, which never share one: even ones at first, then by sign and, where values differ by orders of magnitude, by their logarithm."""
+    half = lambda x, y: x / 2 - y / 2  # noqa: E731  halves do not overflow
+    top = F.lit(BINS - 1)
+    even = F.least(F.floor(half(v, lo) / half(hi, lo) * BINS), top)
+    span = F.abs(F.log(F.abs(hi)) - F.log(F.abs(lo)))
+    wide = (lo * F.signum(hi) > 0) & (span > 7.0)
+    log = F.least(F.floor(F.abs(F.log(F.abs(v)) - F.log(F.abs(lo))) / span * BINS), top)
+    inf = float("inf")
+    return (
+        F.when(v == inf, BINS).when(v == -inf, -1).when(again & (lo <= 0) & (hi >= 0), F.signum(v) + 1)
+        .when(wide, log).when(half(hi, lo) > 0, even).when(v == lo, 0).otherwise(1)
+    )
+
 
-    Values are counted per distinct value and ranked by a blocked running sum; the two
-    rows around each wanted rank are picked. Blocks of large keys are cut at
-    approximate quantiles, so they are even whatever the distribution. The cuts are
-    checkpointed: they must not change between two uses.
+def percentiles(points: DataFrame, keys: list[str], wanted: dict[str, list[float]]) -> DataFrame:
+    """Exact interpolated percentiles of several columns per key: an array per column, in the order of its shares, and ``n``, the rows of the key.
+
+    A histogram of the values between the smallest and the largest says in which bin each wanted rank lies; that bin alone is counted again in
+    finer bins until it holds one value. Bins of all columns and keys are partial aggregates of one pass each, so no task holds a key's values; a bin's
+    own smallest and largest value are the next limits, so a pass always splits it. Nulls and NaN count for nothing; a column without values has null.
     """
-    rows = points.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    steps = [k / QUANTILE_BLOCKS for k in range(1, QUANTILE_BLOCKS)]
-    large = F.count(F.lit(1)) > SMALL_GROUP_ROWS
-    cuts = cut(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.when(large, F.percentile_approx("_v", steps, 10_000)).otherwise(F.array().cast("array<double>")).alias("_cuts"),
-        )
-    )
-    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = salted_join(counted, cuts, keys).withColumn("_u", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
-    ranked = scan(placed.drop("_cuts"), series(keys, ("_u", "_v"), 1.0), sums={"_upto": F.col("_c")})
-    wanted = ranked.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("_n") - 1)).alias("r")) for i, s in enumerate(shares)])))
-    first = F.col("_upto") - F.col("_c")
-    lo, hi = F.floor("_at.r"), F.ceil("_at.r")
-    holds = lambda rank: (first <= rank) & (rank < F.col("_upto"))
-    near = wanted.where(holds(lo) | holds(hi))
-    part = near.groupBy(*keys, "_at").agg(
-        F.max(F.when(holds(lo), F.col("_v"))).alias("_a"), F.max(F.when(holds(hi), F.col("_v"))).alias("_b")
-    )
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at.r") - F.floor("_at.r"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("_at.i").alias("i"), value.alias("v"))))
-    return part.groupBy(*keys).agg(F.transform(pairs, lambda p: p["v"]).alias("p"))
+    names = list(wanted)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)])).alias("_e")
+    rows = points.select(*keys, each).select(*keys, F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    by, inf = [*keys, "_c"], float("inf")
+    finite = F.when(F.abs("_v") < inf, F.col("_v"))
+    base = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")))
+    # ranks: the two neighbours of every wanted position
+    shares = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(i), F.array(*[F.lit(float(s)) for s in wanted[c]]))])
+    place = lambda s: s * (F.col("_n") - 1)
+    ranks = F.array_distinct(F.flatten(F.transform(shares[F.col("_c")], lambda s: F.array(F.floor(place(s)), F.ceil(place(s))))))
+    open_ = base.select(*by, F.explode(ranks).alias("_rank"), F.lit(0).cast("bigint").alias("_skip"), F.lit(-inf).alias("_a"), F.lit(inf).alias("_b"), "_lo", "_hi")
+    done = None
+    while True:
+        limits = open_.groupBy(*by).agg(F.collect_set(F.struct("_a", "_b", "_lo", "_hi")).alias("_limits"))
+        met = salted_join(rows, limits, by, counts=base)
+        inside = F.filter("_limits", lambda x: (x["_a"] <= F.col("_v")) & (F.col("_v") <= x["_b"]))
+        met = met.select(*by, "_v", F.explode(inside).alias("_l"))
+        bin_ = _bin(F.col("_v"), F.col("_l._lo"), F.col("_l._hi"), F.col("_l._a") > -inf)
+        bins = met.groupBy(*by, F.col("_l._a").alias("_a"), bin_.cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        w = Window.partitionBy(*by, "_a").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0)))
+        asked = open_.select(*by, "_a", "_rank", "_skip")
+        at = F.col("_rank") - F.col("_skip")
+        found = asked.join(bins, [*by, "_a"]).where((F.col("_before") <= at) & (at < F.col("_before") + F.col("_m")))
+        found = cut(found.select(*by, "_rank", (F.col("_skip") + F.col("_before")).alias("_skip"), "_lo", "_hi"))
+        sure = found.where("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_value"))
+        done = sure if done is None else done.unionByName(sure)
+        open_ = found.where("_lo < _hi").select(*by, "_rank", "_skip", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), "_lo", "_hi")
+        if open_.isEmpty():
+            break
+    values = done.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+    value = lambda s: F.col("_at")[F.floor(place(s))] + (F.col("_at")[F.ceil(place(s))] - F.col("_at")[F.floor(place(s))]) * (place(s) - F.floor(place(s)))
+    same = lambda s: F.col("_at")[F.floor(place(s))] == F.col("_at")[F.ceil(place(s))]  # noqa: E731  also infinite ones
+    one = values.join(base.select(*by, "_n"), by).select(*by, "_n", F.transform(shares[F.col("_c")], lambda s: F.when(same(s), F.col("_at")[F.floor(place(s))]).otherwise(value(s))).alias("_p"))
+    return cut(one.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_c") == i, F.col("_p"))).alias(c) for i, c in enumerate(names)]))
+
+
+def exact_percentiles(points: DataFrame, keys: list[str], col: str, shares: list[float]) -> DataFrame:
+    """Percentiles of one column per key, as the array ``p``."""
+    return percentiles(points, keys, {col: shares}).select(*keys, F.col(col).alias("p"))
 
 
 def road_candidates(points: DataFrame, keys: list[str], share: float = 0.4) -> DataFrame:
     """Points strictly below the given percentile of height."""
-    cut_at = exact_percentiles(points, keys, "y", [share])
-    return _hot_join(points, cut_at, keys).where(F.col("y") < F.col("p")[0]).select(*points.columns)
+    at = percentiles(points, keys, {"y": [share]})
+    j = salted_join(points, at.select(*keys, F.col("y")[0].alias("_p")), keys, counts=at.select(*keys, F.col("n").alias("_n")))
+    return j.where(F.col("y") < F.col("_p")).select(*points.columns)
 
 
 def median_center(points: DataFrame, keys: list[str]) -> DataFrame:
     """Subtract the median of each axis."""
-    out = points
-    for axis in "xyz":
-        mid = exact_percentiles(points, keys, axis, [0.5]).select(*keys, F.col("p")[0].alias(f"_m{axis}"))
-        out = _hot_join(out, mid, keys)
-    return _replace_xyz(out, points.columns, [F.col(a) - F.col(f"_m{a}") for a in "xyz"])
+    mid = percentiles(points, keys, {a: [0.5] for a in "xyz"})
+    middle = mid.select(*keys, *[F.col(a)[0].alias(f"_m{a}") for a in "xyz"])
+    j = salted_join(points, middle, keys, counts=mid.select(*keys, F.col("n").alias("_n")))
+    return _replace_xyz(j, points.columns, [F.col(a) - F.col(f"_m{a}") for a in "xyz"])
 
 
 def min_max_normalize(df: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -176,9 +207,9 @@ def percentile_normalize(df: DataFrame, keys: list[str], depth: str, lo: float =
 
 def relative_depth(df: DataFrame, keys: list[str], disparity: str) -> DataFrame:
     """Inverse of disparity above its first percentile, floored at 1e-5."""
-    p = exact_percentiles(df, keys, disparity, [0.01])
-    j = _hot_join(df, p, keys)
-    return j.select(*df.columns, (1.0 / F.greatest(F.col(disparity) - F.col("p")[0], F.lit(1e-5))).alias("rel_depth"))
+    at = percentiles(df, keys, {disparity: [0.01]})
+    j = salted_join(df, at.select(*keys, F.col(disparity)[0].alias("_p")), keys, counts=at.select(*keys, F.col("n").alias("_n")))
+    return j.select(*df.columns, (1.0 / F.greatest(F.col(disparity) - F.col("_p"), F.lit(1e-5))).alias("rel_depth"))
 
 
 def stride_sample(points: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:

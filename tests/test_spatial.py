@@ -223,3 +223,27 @@ def test_nms_rounds_do_not_follow_the_boxes_kept(spark, monkeypatch):
     monkeypatch.setattr(dt, "cut", lambda df: cuts.append(1) or cut(df))
     assert dt.nms(det, ["frame_id"]).count() > 3000
     assert len(cuts) <= 1 + 3 * 8
+
+
+def test_percentiles_of_several_columns_in_few_passes(spark, tmp_path, monkeypatch):
+    rnd = np.random.default_rng(2)
+    inf = float("inf")
+    data = {
+        "a": (rnd.normal(0, 1, 5000), np.exp(rnd.normal(0, 40, 5000)), np.round(rnd.uniform(0, 5, 5000))),
+        "b": (np.array([1.0]), np.array([-0.0]), np.array([5e-324])), "c": (np.array([1e308, -1e308, 3.0]), np.array([5e-324, 0.0, 1e-323]), np.array([1.0, 1.0, 2.0])),
+    }
+    rows = [(k, *map(float, v)) for k, cols in data.items() for v in zip(*cols)] + [("a", None, float("nan"), None), ("d", None, 1.0, inf), ("d", float("nan"), 2.0, inf), ("d", None, 3.0, -inf), ("d", None, 4.0, inf)]
+    path = str(tmp_path / "points")
+    spark.createDataFrame(rows, "k string, x double, y double, z double").write.parquet(path)
+    df = spark.read.parquet(path)
+    cuts = []
+    monkeypatch.setattr(pt, "cut", lambda d: cuts.append(1) or cut(d))
+    shares = [0.0, 0.013, 0.5, 0.98, 1.0]
+    got = {r["k"]: r for r in pt.percentiles(df, ["k"], {"x": shares, "y": shares, "z": [0.5]}).collect()}
+    assert len(cuts) <= 2 + 12
+    for k, (x, y, z) in data.items():
+        for name, v, s in (("x", x, shares), ("y", y, shares), ("z", z, [0.5])):
+            assert np.allclose(got[k][name], [np.sort(v)[int(np.floor(q * (len(v) - 1)))] + (np.sort(v)[int(np.ceil(q * (len(v) - 1)))] - np.sort(v)[int(np.floor(q * (len(v) - 1)))]) * (q * (len(v) - 1) % 1) for q in s]), (k, name)
+    assert got["d"]["x"] is None and got["d"]["y"] == pytest.approx([1, 1.039, 2.5, 3.94, 4]) and got["d"]["z"] == [inf] and got["a"]["n"] == 5000
+    plan = pt.median_center(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 1 and plan.count("FileScan") + plan.count("Scan ExistingRDD") <= 4

@@ -167,3 +167,43 @@ def polygon_area(points: Column) -> Column:
     nxt = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
     crosses = F.zip_with(points, nxt, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.abs(F.aggregate(crosses, F.lit(0.0), lambda acc, c: acc + c)) / 2
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def convex_hull(points: Column) -> Column:
+    """Corners of the convex hull of an array of struct(x, y), counter-clockwise, without points on its sides.
+
+    A chain over the sorted points keeps its convex beginning: the corners that a further point hides are always the last ones.
+    """
+    cross = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    own = F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+
+    def chain(ps: Column) -> Column:
+        turn = lambda st, p: F.filter(st, lambda q, i: (i == 0) | (cross(F.get(st, i - 1), q, p) > 0))
+        whole = F.aggregate(ps, F.slice(ps, 1, 0), lambda st, p: F.concat(turn(st, p), F.array(p)))
+        return _let(whole, lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))))
+
+    return _let(F.array_sort(F.array_distinct(own)), lambda ps: F.when(F.size(ps) < 2, ps).otherwise(F.concat(chain(ps), chain(F.reverse(ps)))))
+
+
+def smallest_rectangle(points: Column) -> Column:
+    """struct(long, short): sides of the rectangle of least area around the points; one of its sides lies on a side of their hull."""
+    spread = lambda v: _let(v, lambda x: F.array_max(x) - F.array_min(x))
+
+    def around(hull: Column, p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        along = spread(F.transform(hull, lambda c: (c["x"] * dx + c["y"] * dy) / F.hypot(dx, dy)))
+        across = spread(F.transform(hull, lambda c: (c["y"] * dx - c["x"] * dy) / F.hypot(dx, dy)))
+        return _let(F.struct(along.alias("w"), across.alias("h")), lambda s: F.struct((s["w"] * s["h"]).alias("area"), F.greatest(s["w"], s["h"]).alias("long"), F.least(s["w"], s["h"]).alias("short")))
+
+    def sides(hull: Column) -> Column:
+        nxt = F.concat(F.slice(hull, 2, F.greatest(F.size(hull) - 1, F.lit(0))), F.slice(hull, 1, 1))
+        best = F.array_min(F.zip_with(hull, nxt, lambda p, q: around(hull, p, q)))
+        zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("long"), F.lit(0.0).alias("short"))
+        return F.when(F.size(hull) < 2, zero).otherwise(best)
+
+    return _let(_let(convex_hull(points), sides), lambda b: F.struct(b["long"].alias("long"), b["short"].alias("short")))

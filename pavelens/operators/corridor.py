@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import global_to_local
+from ..session import cut
 from .blocks import scan, series
 from .joins import salted_join
 
@@ -54,29 +55,67 @@ def canvas_centers(frames: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _spot_gaps(spots: DataFrame, keys: list[str]) -> DataFrame:
+    """Distance of every spot to the nearest other one; spots that are alone in their corridor are left out.
+
+    Spots meet the neighbours of their grid cell; those that find none within a cell's width try again with cells of twice the
+    width, until a cell is as wide as the corridor.
+    """
+    span = lambda c: F.max(c) - F.min(c)
+    head = spots.groupBy(*keys).agg(F.greatest(span("cx"), span("cy")).alias("_far"), F.count(F.lit(1)).alias("_n")).where("_far > 0")
+    first = F.greatest(F.col("_far") / F.col("_n"), F.col("_far") * 1e-9)
+    open_ = cut(salted_join(spots.select(*keys, "cx", "cy"), head, keys, counts=head.select(*keys, "_n")).withColumn("_size", first).drop("_n"))
+    every, done = open_.select(*keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.col("_size").alias("_s")), None
+    width = 1.0
+    while True:
+        near = lambda c, s=width: F.explode(F.sequence(F.floor(F.col(c) / (F.col("_s") * s)) - 1, F.floor(F.col(c) / (F.col("_s") * s)) + 1))
+        right = every.withColumn("_gx", near("_x")).withColumn("_gy", near("_y")).drop("_s")
+        at = lambda c, s=width: F.floor(F.col(c) / (F.col("_size") * s))
+        met = open_.withColumn("_gx", at("cx")).withColumn("_gy", at("cy")).join(right, [*keys, "_gx", "_gy"])
+        gap = F.min(F.hypot(F.col("cx") - F.col("_x"), F.col("cy") - F.col("_y"))).alias("gap")
+        best = met.where((F.col("cx") != F.col("_x")) | (F.col("cy") != F.col("_y"))).groupBy(*keys, "cx", "cy").agg(gap)
+        now = cut(open_.join(best, [*keys, "cx", "cy"], "left"))
+        sure = F.col("gap") <= F.col("_size") * width
+        ended = F.coalesce(sure, F.lit(False)) | (F.col("_size") * width > F.col("_far"))
+        found = now.where(ended).select(*keys, "cx", "cy", "gap")
+        done = found if done is None else done.unionByName(found)
+        open_ = now.where(~ended).drop("gap")
+        if open_.isEmpty():
+            return done
+        width *= 2
+
+
 def nearest_center(cells: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
-    """Distance of a frame's cell to its own centre and to the nearest other one, and the seam weight.
+    """Distance of a frame's cell to its own centre (``own``) and to the nearest other one (``other``), and the seam weight ``alpha``.
+
+    The weight is clip((other - own + 10) / 20). ``other`` is null, and the weight 1, only where the corridor has no other frame.
 
-    The weight clip((other - own + 10) / 20) is 1 once the other centre is more than
-    10 px farther than the own one, so only centres within the largest own distance
-    plus 10 px are looked up, by grid. Without one ``other`` is null and the weight 1.
-    Centres on the same spot are looked up once.
+    Frames at one spot are looked up once. First every spot finds its nearest other spot; with g that distance, no cell of a frame whose cells lie within
+    r of its centre has its nearest other centre farther than g + 2 r from its own. Cells then meet only the centres within that distance, found once per spot on a grid
+    as wide as it.
     """
     own = salted_join(cells, centers.select(*keys, "frame_idx", F.col("cx").alias("_ox"), F.col("cy").alias("_oy")), [*keys, "frame_idx"])
     own = own.withColumn("own", F.hypot(F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy")))
-    reach = own.groupBy(*keys).agg((F.max("own") + FEATHER_PX + 1.0).alias("_reach"))
-    spots = centers.groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("_frames"))
-    bin_ = lambda c: F.floor(F.col(c) / F.col("_reach"))
-    left = salted_join(own, reach, keys).withColumn("_bx", bin_("x")).withColumn("_by", bin_("y")).drop("_reach")
-    near = lambda c: F.explode(F.sequence(bin_(c) - 1, bin_(c) + 1))
-    right = salted_join(spots, reach, keys).withColumn("_bx", near("cx")).withColumn("_by", near("cy")).drop("_reach")
-    met = salted_join(left, right, [*keys, "_bx", "_by"], "inner")
-    other = ~((F.col("cx") == F.col("_ox")) & (F.col("cy") == F.col("_oy")) & (F.col("_frames") == 1))
-    d = F.when(other, F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
-    rest = [c for c in cells.columns]
-    best = met.groupBy(*rest, "own").agg(F.min(d).alias("other"))
+    spots = cut(centers.groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("_frames")))
+    at = [*keys, F.col("_ox").alias("cx"), F.col("_oy").alias("cy")]
+    reach = own.groupBy(*at).agg(F.max("own").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    wide = spots.join(_spot_gaps(spots, keys), [*keys, "cx", "cy"], "left").join(reach, [*keys, "cx", "cy"])
+    wide = wide.withColumn("_reach", (F.when(F.col("_frames") > 1, 0.0).otherwise(F.col("gap")) + 2 * F.col("_r")) * (1 + 1e-9) + 1e-6)
+    wide = cut(wide.where("_reach is not null").withColumn("_level", F.ceil(F.log2("_reach")).cast("int")))
+    levels = wide.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # a few sizes of cells per corridor
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
+    right = spots.join(levels, keys).select(*keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"), "_frames", F.explode("_levels").alias("_level"))
+    right = right.withColumn("_gx", near("_x")).withColumn("_gy", near("_y")).drop("_frames")
+    left = wide.withColumn("_gx", F.floor(F.col("cx") / size)).withColumn("_gy", F.floor(F.col("cy") / size)).drop("gap", "_r")
+    both = left.join(right, [*keys, "_level", "_gx", "_gy"])
+    both = both.where(F.hypot(F.col("cx") - F.col("_x"), F.col("cy") - F.col("_y")) <= F.col("_reach"))
+    others = both.where((F.col("_frames") > 1) | (F.col("cx") != F.col("_x")) | (F.col("cy") != F.col("_y")))
+    others = others.groupBy(*keys, F.col("cx").alias("_ox"), F.col("cy").alias("_oy")).agg(F.collect_list(F.struct("_x", "_y")).alias("_others"))
+    met = salted_join(own, others, [*keys, "_ox", "_oy"], "left", counts=wide.select(*keys, F.col("cx").alias("_ox"), F.col("cy").alias("_oy"), "_n"))
+    other = F.array_min(F.transform("_others", lambda c: F.hypot(F.col("x") - c["_x"], F.col("y") - c["_y"])))
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("other") - F.col("own") + FEATHER_PX) / (2 * FEATHER_PX)))
-    return best.withColumn("alpha", F.coalesce(weight, F.lit(1.0)))
+    return met.withColumn("other", other).withColumn("alpha", F.coalesce(weight, F.lit(1.0))).select(*cells.columns, "own", "other", "alpha")
 
 
 def composite_corridor(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -181,11 +181,8 @@ def lane_scaled_area(df: DataFrame, lane_mm: float, out_w: int, keys: list[str],
 
 
 def known_area_error(df: DataFrame, gsd: float) -> DataFrame:
-    """Error of a measured polygon against its surveyed area.
-
-    The rectangle is axis-aligned around the points, not the smallest turned one.
-    """
-    from ..functions.geo import polygon_area
+    """Error of a measured polygon against its surveyed area, with the sides of the smallest rectangle around it, turned (``rect_``) and axis-aligned (``aabb_``)."""
+    from ..functions.geo import polygon_area, smallest_rectangle
 
     px = polygon_area(F.col("points"))
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
@@ -199,6 +196,10 @@ def known_area_error(df: DataFrame, gsd: float) -> DataFrame:
         .withColumn("error_pct", F.try_divide(error, "known_m2") * 100.0)
         .withColumn("aabb_w_m", side(xs))
         .withColumn("aabb_h_m", side(ys))
+        .withColumn("_rect", smallest_rectangle(F.col("points")))
+        .withColumn("rect_long_m", F.col("_rect.long") * gsd)
+        .withColumn("rect_short_m", F.col("_rect.short") * gsd)
+        .drop("_rect")
     )
 
 

@@ -48,10 +48,10 @@ def _seam(spark, sf):
     return cells, o
 
 
-@query("nearest_center", "WITH " + SEAM_SQL + f" SELECT c, f AS frame_idx, x, y, {r('own')} AS own, {r('alpha')} AS alpha FROM al")
+@query("nearest_center", "WITH " + SEAM_SQL + f" SELECT c, f AS frame_idx, x, y, {r('own')} AS own, CASE WHEN other IS NOT NULL THEN {r('other')} END AS other, {r('alpha')} AS alpha FROM al")
 def nearest_center(spark, sf):
     out = co.nearest_center(*_seam(spark, sf), ["c"])
-    return out.select("c", "frame_idx", "x", "y", rnd("own").alias("own"), rnd("alpha").alias("alpha"))
+    return out.select("c", "frame_idx", "x", "y", rnd("own").alias("own"), rnd("other").alias("other"), rnd("alpha").alias("alpha"))
 
 
 @query("composite_corridor", "WITH " + SEAM_SQL + """, v AS (SELECT c, x, y, f, CAST(f % 256 AS INTEGER) AS r, CAST(f % 100 AS INTEGER) AS g, 7 AS b, alpha FROM al),

@@ -120,6 +120,15 @@ def known_area_error(spark, sf):
     return out.select("frame_id", *[rnd(c, 4 if c == "error_pct" else 6).alias(c) for c in ("area_m2", "error_m2", "error_pct", "aabb_w_m", "aabb_h_m")])
 
 
+@query("smallest_rectangle", "WITH " + feeds.BOXES_SQL + f""" SELECT frame_id, {r('w * h * 0.0004')} AS area_m2, {r('greatest(w, h) * 0.02')} AS rect_long_m, {r('least(w, h) * 0.02')} AS rect_short_m, {r('(w * 0.6 + h * 0.8) * 0.02')} AS aabb_w_m FROM boxes""")
+def smallest_rectangle(spark, sf):
+    d = lambda c: F.col(c).cast("double")
+    at = lambda a, b: F.struct((d("x") + a * 0.6 - b * 0.8).alias("x"), (d("y") + a * 0.8 + b * 0.6).alias("y"))
+    w, h, o = d("w"), d("h"), F.lit(0.0)
+    b = feeds.boxes(spark, sf).select("frame_id", F.lit(0.2).alias("known_m2"), F.array(at(o, o), at(w, o), at(w, h), at(w / 2, h), at(o, h)).alias("points"))
+    return dt.known_area_error(b, 0.02).select("frame_id", *[rnd(c).alias(c) for c in ("area_m2", "rect_long_m", "rect_short_m", "aabb_w_m")])
+
+
 @query("geometry_depth", f"SELECT event_id, {r('CASE WHEN value / 1000 - 0.1 > 0.001 THEN 2 * sqrt((value / 1000 - 0.1) / pi()) * 0.28 ELSE 0.0 END')} AS depth_m FROM events")
 def geometry_depth(spark, sf):
     return table(spark, sf, "events").select("event_id", rnd(dt.geometry_depth(F.col("value") / 1000 - 0.1)).alias("depth_m"))

@@ -247,3 +247,44 @@ def test_percentiles_of_several_columns_in_few_passes(spark, tmp_path, monkeypat
     assert got["d"]["x"] is None and got["d"]["y"] == pytest.approx([1, 1.039, 2.5, 3.94, 4]) and got["d"]["z"] == [inf] and got["a"]["n"] == 5000
     plan = pt.median_center(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 1 and plan.count("FileScan") + plan.count("Scan ExistingRDD") <= 4
+
+
+def test_smallest_rectangle_of_turned_rectangles_and_clouds(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(40):
+        a, w, h, x, y = rnd.uniform(0, math.pi), rnd.uniform(1, 9), rnd.uniform(1, 9), rnd.uniform(-50, 50), rnd.uniform(-50, 50)
+        at = [(u * w, v * h) for u, v in [(0, 0), (1, 0), (1, 1), (0, 1)] + [(rnd.random(), rnd.random()) for _ in range(i % 7)]]
+        pts = [(x + u * math.cos(a) - v * math.sin(a), y + u * math.sin(a) + v * math.cos(a)) for u, v in at]
+        rnd.shuffle(pts)
+        rows.append((i, pts, max(w, h), min(w, h)))
+    rows += [(100, [(1.0, 1.0), (4.0, 5.0), (2.5, 3.0)], 5.0, 0.0), (101, [(2.0, 2.0)] * 3, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, points array<struct<x:double,y:double>>, a double, b double")
+    for r in df.withColumn("s", geo.smallest_rectangle(F.col("points"))).collect():
+        assert r["s"]["long"] == pytest.approx(r["a"], abs=1e-9) and r["s"]["short"] == pytest.approx(r["b"], abs=1e-9), r["i"]
+    some = [(i, [(rnd.gauss(0, 3), rnd.gauss(0, 1)) for _ in range(25)]) for i in range(5)]
+    for r in spark.createDataFrame(some, "i int, points array<struct<x:double,y:double>>").withColumn("s", geo.smallest_rectangle(F.col("points"))).collect():
+        pts = np.array([(p["x"], p["y"]) for p in r["points"]])
+        def box(t):
+            q = pts @ np.array([[math.cos(t), -math.sin(t)], [math.sin(t), math.cos(t)]])
+            return float(np.prod(q.max(0) - q.min(0)))
+        best = min(box(t) for t in np.linspace(0, math.pi / 2, 20001))
+        assert r["s"]["long"] * r["s"]["short"] <= best + 1e-9 and r["s"]["long"] * r["s"]["short"] > best - 0.02
+
+
+def test_nearest_center_has_no_bound(spark):
+    from pavelens.operators.corridor import nearest_center
+
+    rnd = random.Random(4)
+    centers = [("a", i, rnd.uniform(0, 50), rnd.uniform(0, 5)) for i in range(40)] + [("a", 40, 9000.0, 0.0), ("a", 41, 9000.0, 300.0)]
+    centers += [("one", 0, 3.0, 3.0), ("two", 0, 1.0, 1.0), ("two", 1, 1.0, 1.0), ("two", 2, 80.0, 1.0)]
+    cells = [(c, f, float(round(x + rnd.uniform(-20, 20))), float(round(y + rnd.uniform(-20, 20)))) for c, f, x, y in centers for _ in range(15)]
+    cells = sorted(set(cells))
+    got = nearest_center(spark.createDataFrame(cells, "c string, frame_idx int, x double, y double"), spark.createDataFrame(centers, "c string, frame_idx int, cx double, cy double"), ["c"]).collect()
+    assert len(got) == len(cells)
+    where = {(c, f): (x, y) for c, f, x, y in centers}
+    for r in got:
+        far = [math.hypot(r["x"] - x, r["y"] - y) for (c, f), (x, y) in where.items() if c == r["c"] and f != r["frame_idx"]]
+        own = math.hypot(r["x"] - where[r["c"], r["frame_idx"]][0], r["y"] - where[r["c"], r["frame_idx"]][1])
+        assert r["own"] == pytest.approx(own) and (r["other"] == pytest.approx(min(far)) if far else r["other"] is None)
+        assert r["alpha"] == pytest.approx(max(0, min(1, (min(far) - own + 10) / 20)) if far else 1)

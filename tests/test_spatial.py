@@ -288,3 +288,43 @@ def test_nearest_center_has_no_bound(spark):
         own = math.hypot(r["x"] - where[r["c"], r["frame_idx"]][0], r["y"] - where[r["c"], r["frame_idx"]][1])
         assert r["own"] == pytest.approx(own) and (r["other"] == pytest.approx(min(far)) if far else r["other"] is None)
         assert r["alpha"] == pytest.approx(max(0, min(1, (min(far) - own + 10) / 20)) if far else 1)
+
+
+@pytest.mark.parametrize("in_order", [0, 1_000_000])
+def test_matching_with_ties_equals_the_scan(spark, monkeypatch, in_order):
+    rnd = random.Random(2)
+    n = 300 if in_order else 24
+    rows = [("parked", a, b, 0.0) for a in range(n) for b in range(a + 15, n)] + [("road", a, b, round(rnd.uniform(0, 4), 1)) for a in range(120) for b in range(a + 15, 120) if rnd.random() < 0.1]
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda d: cuts.append(1) or cut(d))
+    got = graph.greedy_match(spark.createDataFrame(rows, "project string, a long, b long, dist double"), ["project"], in_order)
+    want, used = set(), set()
+    for p, a, b, d in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+        if not {(p, a), (p, b)} & used:
+            used |= {(p, a), (p, b)}
+            want.add((p, a, b))
+    assert {(r["project"], r["a"], r["b"]) for r in got.collect()} == want
+    if in_order:
+        assert len(cuts) <= 30
+
+
+@pytest.mark.parametrize("in_order", [0, 1_000_000])
+def test_duplicates_of_a_long_chain_go_in_order(spark, monkeypatch, in_order):
+    n = 1000 if in_order else 40
+    rnd = random.Random(3)
+    square = lambda x: [(x, 0.0), (x + 4.0, 0.0), (x + 4.0, 4.0), (x, 4.0)]
+    cam = [rnd.uniform(0, 30) for _ in range(n)]
+    rows = [("p", i, "pothole", i, 0, square(1.9 * i), (1.9 * i, -cam[i])) for i in range(n)]
+    det = spark.createDataFrame(rows, "project string, det_id int, class string, frame_idx int, group_id int, points array<struct<x:double,y:double>>, cam struct<x:double,y:double>")
+    cuts = []
+    monkeypatch.setattr(gp, "cut", lambda d: cuts.append(1) or cut(d))
+    got = {r["det_id"] for r in gp.dedupe_group(det, ["project"], in_order).collect()}
+    alike = {(r["a"], r["b"]) for r in gp.polygon_pairs(det, ["project"]).where("similarity > 0.5").collect()}
+    gone = set()
+    for a, b in sorted(alike):
+        if a not in gone and b not in gone:
+            da, db = (math.hypot(2.0, 2.0 + cam[i]) for i in (a, b))
+            gone.add(a if db < da else b)
+    assert got == set(range(n)) - gone and len(gone) > n / 4
+    if in_order:
+        assert len(cuts) <= 3

@@ -229,30 +229,30 @@ def alike_labels(
     """Images whose label texts are alike: Jaccard similarity of their sets of five-word shingles of at least ``least``.
 
     Words are runs of ASCII letters (A-Z as a-z), digits and anything beyond ASCII; a text of fewer words, but not none, is one
-    shingle. Returns per row of ``labels``: ``image``, ``copy_id`` (smallest image with the same shingles), ``n_links`` (long, other images linked directly, copies included),
-    ``class_id`` (smallest image reachable by links, itself included) and ``kept`` (class_id = image).
+    shingle. Returns per row of ``labels``: ``image``, ``copy_id`` (smallest image with the same shingles), ``n_links`` (long, other label texts, one per image and set of shingles, that
+    those of the image are linked to directly, copies included), ``class_id`` (smallest image reachable by links, itself included) and ``kept`` (class_id = image).
 
     How: texts with the same shingles are one class from the start. A run sends each class to the buckets of ``choices`` sampled
     tokens; large buckets are split by further tokens along the path, small ones compared, and so are those that
-    hardly shrink, in bounded blocks. Runs repeat until a pair at ``least`` is found with probability ``recall``; what is found is verified exactly. A link counts
+    hardly shrink, in bounded blocks. Runs repeat until a pair at ``least`` is found with probability ``recall``; what is found is verified on all shingles, which 32 bits of hash stand for. A link counts
     in the first bucket both classes are in. Blocks emit counts and one edge per member, never pairs, so a group of many copies
     costs its comparisons but no rows; no bucket is cut.
 
-    Texts that are null, empty or without words link with nothing. Rows with a null image are kept as their own class with a null ``class_id``. Repeated rows of
-    one image are taken as one, and each gets its result. An empty table gives none; further columns are ignored.
+    Texts that are null, empty or without words link with nothing. Rows with a null image are kept as their own class with a null ``class_id``. An image
+    with several texts has the links of all of them and joins their classes; each of its rows gets that result, and repeated rows count once. An empty table gives none; further columns are ignored.
     """
     free(image, "copy_id", "n_links", "class_id", "kept")
     rows = need(labels, image, value)
-    kind = rows.schema[image].dataType.simpleString()
     own = F.col(f"`{image}`")
     runs = runs_needed(least, choices, depth, recall)
-    made = stage(shingle_sets(rows.where(own.isNotNull()), image, value, runs, choices, least), "shingles")
-    # texts with one shingle set are one class, named by its smallest image; sets do not travel here
-    named = made.groupBy("_name").agg(F.min(own).alias("_class"), F.count_distinct(own).alias("_copies"))
+    made = shingle_sets(rows.where(own.isNotNull()), image, value, runs, choices, least)
+    made = stage(made.withColumn("_row", F.monotonically_increasing_id()), "shingles")
+    # texts with one shingle set are one class, named by one of its rows; sets do not travel here
+    named = made.groupBy("_name").agg(F.min("_row").alias("_class"), F.count_distinct(own).alias("_copies"), F.min(own).alias("_least"))
     named = stage(named, "classes")
-    firsts = made.join(named.hint("merge"), (made["_name"] == named["_name"]) & (own == F.col("_class"))).select("_class", "_n", "_paths").dropDuplicates(["_class"])
+    firsts = made.join(named.select("_class").hint("merge"), F.col("_row") == F.col("_class")).select("_class", "_n", "_paths")
     firsts = stage(firsts, "firsts")
-    leaves = leaf_buckets(firsts, made.select(own.alias("_class"), "_sketch"), choices, depth, small, dense)
+    leaves = leaf_buckets(firsts, made.select(F.col("_row").alias("_class"), "_sketch"), choices, depth, small, dense)
     sized = leaves.join(firsts.select("_class", "_n"), "_class")
     # who meets whom is settled on narrow rows; sets travel once to their class and once to its blocks
     place = F.struct("_leaf", "_i", "_j", "_b")
@@ -260,7 +260,7 @@ def alike_labels(
     per_class = placed.groupBy("_class").agg(F.sort_array(F.collect_set("_leaf")).alias("_leaves"), F.collect_list(place).alias("_places"))
     holders = stage(per_class.join(named.select("_class", "_copies"), "_class"), "holders")
     # by a shuffle at every size: a class has some leaves, so the holders grow with the input
-    sets = made.select(own.alias("_class"), "_set").join(holders.hint("merge"), "_class").dropDuplicates(["_class"])
+    sets = made.select(F.col("_row").alias("_class"), "_set").join(holders.hint("merge"), "_class")
     members = sets.select("_class", "_copies", "_set", "_leaves", F.explode("_places").alias("_p")).select("_class", "_copies", "_set", "_leaves", "_p.*")
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
@@ -272,14 +272,22 @@ def alike_labels(
         ids = table.column("_class").combine_chunks()
         return pa.RecordBatch.from_arrays([ids.take(pa.array(on)), pa.array(weight[on]), ids.take(pa.array(root[on]))], ["_class", "_weight", "_root"])
 
-    found = stage(by_group(members, ["_leaf", "_i", "_j"], compare, f"_class {kind}, _weight bigint, _root {kind}"), "links")
+    found = stage(by_group(members, ["_leaf", "_i", "_j"], compare, "_class bigint, _weight bigint, _root bigint"), "links")
     counts = found.groupBy("_class").agg(F.sum("_weight").alias("_weight"))
-    reach = connected_components(found.select(F.col("_class").alias("u"), F.col("_root").alias("v"))).withColumnRenamed("node", "_class")
-    linked = named.join(counts.join(reach, "_class"), "_class", "left").select("_name", "_class", "_copies", "_weight", "component")
-    mine = made.groupBy(own.alias("_image")).agg(F.min("_name").alias("_name")).join(linked, "_name")
+    # an image with several texts joins their classes
+    several = made.groupBy(own.alias("_image")).agg(F.min("_name").alias("_a"), F.max("_name").alias("_z")).where("_a <> _z").select("_image")
+    inside = made.select(own.alias("_image"), "_name").join(several, "_image", "left_semi").join(named.select("_name", "_class"), "_name")
+    inside = stage(inside.select("_image", "_class").distinct(), "images")
+    first = inside.groupBy("_image").agg(F.min("_class").alias("_first"))
+    joined = inside.join(first, "_image").where("_class <> _first").select(F.col("_class").alias("u"), F.col("_first").alias("v"))
+    edges = found.select(F.col("_class").alias("u"), F.col("_root").alias("v")).unionByName(joined)
+    reach = connected_components(edges).withColumnRenamed("node", "_class")
+    linked = named.join(counts, "_class", "left").join(reach, "_class", "left")
+    linked = stage(linked.select("_name", "_least", "component", (F.coalesce("_weight", F.lit(0)) + F.col("_copies") - 1).alias("_links")), "linked")
+    top = linked.where("component is not null").groupBy("component").agg(F.min("_least").alias("_top"))
+    linked = linked.join(top, "component", "left").select("_name", "_least", F.coalesce("_top", "_least").alias("_group"), "_links")
+    mine = made.select(own.alias("_image"), "_name").distinct().join(linked, "_name")
+    mine = mine.groupBy("_image").agg(F.min("_least").alias("_least"), F.min("_group").alias("_group"), F.sum("_links").alias("_links"))
     out = rows.select(own).join(mine, own == F.col("_image"), "left")
-    copy = F.coalesce("_class", own)
-    group = F.coalesce("component", copy)
-    return out.select(
-        own, copy.alias("copy_id"), (F.coalesce("_weight", F.lit(0)) + F.coalesce("_copies", F.lit(1)) - 1).alias("n_links"), group.alias("class_id"), F.coalesce(group == own, F.lit(True)).alias("kept")
-    )
+    group = F.coalesce("_group", own)
+    return out.select(own, F.coalesce("_least", own).alias("copy_id"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"), group.alias("class_id"), F.coalesce(group == own, F.lit(True)).alias("kept"))

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import JUDGED, free, judge, need
-from .words import Words, ragged, split
+from .words import Words, powers, ragged, split
 
 WINDOW = 13
+#: Base of the hashes of runs of words, odd.
+RUN = 0xB5AD4ECEDA1CE2A9
 #: Test text that a task searches at a time; more test items make more blocks, which every shard goes through.
 BLOCK_BYTES = 32 << 20
 FIELDS = "n_words bigint, n_hit bigint, items array<string>, longest bigint, longest_item string, longest_at bigint, leaked boolean"
@@ -39,7 +41,46 @@ class TestBlock:
         self.left = np.repeat(self.first[1:], length) - np.arange(len(self.hash))  # words from here to the item's end
         self.need = np.minimum(WINDOW, np.repeat(length, length))
         self.key = _keys(self.rank, self.item, self.bits, self.step)
-        self.longest = int(length.max()) if len(length) else 0
+        self.order = _sorted_suffixes(self.rank.astype(np.int64), self.item)
+        self.sums = _prefix_sums(self.hash)
+
+
+def _sorted_suffixes(rank: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Places of test words sorted by the words from there to the item's end, by doubling; a suffix comes before those that it begins."""
+    n, k = len(rank), 1
+    order = np.argsort(rank, kind="stable")
+    rank = np.unique(rank, return_inverse=True)[1]
+    while k < n:
+        second = np.full(n, -1, np.int64)
+        second[: n - k] = np.where(item[: n - k] == item[k:], rank[k:], -1)
+        order = np.lexsort((second, rank))
+        a, b = rank[order], second[order]
+        fresh = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        done = fresh[-1] == rank.max() and (second == -1).all()
+        rank = np.empty(n, np.int64)
+        rank[order] = fresh
+        if done or fresh[-1] == n - 1:
+            break
+        k *= 2
+    return order
+
+
+def _prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    """Sums that give the hash of any run of words."""
+    out = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(RUN, len(hashes)), out=out[1:])
+    return out
+
+
+def _common(words_sums: np.ndarray, at: np.ndarray, test_sums: np.ndarray, test: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Number of equal words from the places ``at`` and ``test`` on, at most ``most``, by binary search over hashes of runs."""
+    inverse = powers(pow(RUN, -1, 1 << 64), max(len(words_sums), len(test_sums)))
+    lo, hi = np.zeros(len(at), np.int64), most.copy()
+    while (lo < hi).any():
+        mid = (lo + hi + 1) // 2
+        same = (words_sums[at + mid] - words_sums[at]) * inverse[at] == (test_sums[test + mid] - test_sums[test]) * inverse[test]
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    return lo
 
 
 def _keys(rank: np.ndarray, row: np.ndarray, bits: int, step: int) -> np.ndarray:
@@ -84,11 +125,24 @@ def suffix_array(key: np.ndarray, rank: np.ndarray, step: int, bits: int, depth:
     return order
 
 
-def search(words: Words, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-    """(training place, test place) of every match of a whole window, found by binary search of every test suffix."""
+@dataclass
+class Found:
+    """Windows of test texts that occur in a shard: each distinct one has an interval of ``order``, its length and the test places where it starts."""
+
+    rank: np.ndarray
+    order: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    need: np.ndarray
+    window: np.ndarray
+    test: np.ndarray
+
+
+def search(words: Words, block: TestBlock) -> Found:
+    """Every test suffix is searched in the shard; suffixes that begin with the same window end in the same interval."""
     none = np.zeros(0, np.int64)
     if not len(words.hash) or not len(block.hash):
-        return none, none
+        return Found(none, none, none, none, none, none, none)
     place = np.minimum(np.searchsorted(block.vocabulary, words.hash), len(block.vocabulary) - 1)
     rank = np.where(block.vocabulary[place] == words.hash, place.astype(np.uint64) + np.uint64(1), np.uint64(0))
     key = _keys(rank, words.row, block.bits, block.step)
@@ -114,7 +168,10 @@ def search(words: Words, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
         on = alive & ~full
         test, lo, hi, got = test[on], lo[on], hi[on], got[on] + block.step
     test, lo, hi = (np.concatenate(x) for x in zip(*done)) if done else (none, none, none)
-    return order[ragged(lo, hi - lo)], np.repeat(test, hi - lo)
+    if not len(test):
+        return Found(rank, order, none, none, none, none, none)
+    each, window = np.unique(np.c_[lo, hi, block.need[test]], axis=0, return_inverse=True)
+    return Found(rank, order, each[:, 0], each[:, 1], each[:, 2], window.ravel(), test)
 
 
 def _search(values, lo, hi, want):
@@ -134,16 +191,63 @@ def _search(values, lo, hi, want):
     return out[0], out[1]
 
 
-def extend(words: Words, block: TestBlock, at: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """Length in words of each match, followed beyond the window as far as it goes in both texts."""
-    length = block.need[test].copy()
+def pairs(words: Words, block: TestBlock, found: Found) -> np.ndarray:
+    """(row, item) of every row that holds a window of an item, once. Windows of the same items are taken together."""
+    size = found.high - found.low
+    owner = np.repeat(np.arange(len(size)), size)
+    row = words.row[found.order[ragged(found.low, size)]].astype(np.int64)
+    item = np.unique(np.c_[found.window, block.item[found.test]], axis=0)
+    cuts = np.searchsorted(item[:, 0], np.arange(len(size) + 1))
+    sets: dict[bytes, int] = {}
+    kind = np.array([sets.setdefault(item[a:b, 1].tobytes(), len(sets)) for a, b in zip(cuts[:-1], cuts[1:])], np.int64)
+    members = [np.frombuffer(k, np.int64) for k in sets]
+    held = np.unique(np.c_[kind[owner], row], axis=0)
+    each = [np.c_[np.repeat(held[a:b, 1], len(m)), np.tile(m, b - a)] for m, a, b in zip(members, *(np.searchsorted(held[:, 0], np.arange(len(members)), side=s) for s in ("left", "right")))]
+    return np.unique(np.concatenate(each), axis=0)
+
+
+def longest(words: Words, block: TestBlock, found: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, test place, words) of the longest match of each row that has one, the first one of several.
+
+    A place's longest match is with one of its two neighbours among the sorted test suffixes. If it is shorter than a window, the place has only whole
+    short items, of which the longest counts.
+    """
+    size = found.high - found.low
+    place, window = found.order[ragged(found.low, size)], np.repeat(np.arange(len(size)), size)
+    turn = np.lexsort((-found.need[window], place))
+    turn = turn[np.flatnonzero(np.diff(place[turn], prepend=-1))]
+    at, window = place[turn], window[turn]
+    start = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(start, found.window, found.test)
+    sums = _prefix_sums(words.hash)
     left = words.first[1:][words.row[at]] - at
-    on = np.arange(len(at))
-    while len(on):
-        on = on[(length[on] < left[on]) & (length[on] < block.left[test[on]])]
-        on = on[words.hash[at[on] + length[on]] == block.hash[test[on] + length[on]]]
-        length[on] += 1
-    return length
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(block.order), np.int64)
+    rank = np.append(found.rank.astype(np.int64), 0)
+    mine = np.append(block.rank.astype(np.int64), 0)
+    while (low < high).any():
+        mid = np.minimum((low + high) // 2, len(block.order) - 1)
+        test = block.order[mid]
+        n = _common(sums, at, block.sums, test, np.minimum(left, block.left[test]))
+        theirs = np.where(n < left, rank[np.minimum(at + n, len(rank) - 1)], 0)
+        own = np.where(n < block.left[test], mine[np.minimum(test + n, len(mine) - 1)], -1)
+        on = low < high
+        low, high = np.where(on & (own < theirs), mid + 1, low), np.where(on & (own >= theirs), mid, high)
+    best, partner = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for near in (low - 1, low):
+        ok = (near >= 0) & (near < len(block.order))
+        test = block.order[np.where(ok, near, 0)]
+        n = np.where(ok, _common(sums, at, block.sums, test, np.minimum(left, block.left[test])), 0)
+        better = (n > best) | ((n == best) & (test < partner))
+        best, partner = np.where(better, n, best), np.where(better, test, partner)
+    short = best < WINDOW
+    best, partner = np.where(short, found.need[window], best), np.where(short, start[window], partner)
+    first = np.lexsort((at, -best, words.row[at]))
+    first = first[np.flatnonzero(np.diff(words.row[at[first]], prepend=-1))]
+    at, partner, best = at[first], partner[first], best[first]
+    for i, (p, t, n) in enumerate(zip(at.tolist(), partner.tolist(), best.tolist())):  # hashes of runs only proposed it
+        other = np.flatnonzero(words.hash[p : p + n] != block.hash[t : t + n])
+        best[i] = other[0] if len(other) else n
+    return at, partner, best
 
 
 def find_leaked_labels(
@@ -158,7 +262,7 @@ def find_leaked_labels(
     0 if none), ``longest_item``, ``longest_at`` (its test image and first word in the training text) and ``leaked``: n_hit > 0 and 20 * n_hit >= n_words.
 
     How: each task sorts the suffixes of its shard of about 8 MB and searches every test suffix in it; the interval it ends in
-    gives all places. Test texts go to the tasks in blocks of at most ``block_bytes``, so that no broadcast grows
+    gives all places, once for all suffixes with the same window. The longest match of a place is with a neighbour among the sorted test suffixes, its length found by binary search. Test texts go to the tasks in blocks of at most ``block_bytes``, so that no broadcast grows
     with them; training rows are not shuffled, and a passage that many rows share costs only its hits.
 
     Null or empty texts have no words and no hits, a null test image is left out of ``items`` but its hits count; repeated rows and null keys are
@@ -185,18 +289,19 @@ def _judged(rows: DataFrame, test_labels: DataFrame, value: str, test_image: str
         items: list[set] = [set() for _ in range(batch.num_rows)]
         best: list[tuple[int, str | None, int | None]] = [(0, None, None)] * batch.num_rows
         for block in (b.value for b in blocks):
-            at, test = search(words, block)
+            found = search(words, block)
+            if not len(found.low):
+                continue
+            size = found.high - found.low
+            at = found.order[ragged(found.low, size)]
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + block.need[test], -1)
-            for pair in np.unique(words.row[at] * len(block.items) + block.item[test]).tolist() if len(at) else []:
-                items[pair // len(block.items)].add(block.items[pair % len(block.items)])
-            length = extend(words, block, at, test)
-            first = np.lexsort((at, -length, words.row[at])) if len(at) else at
-            first = first[np.flatnonzero(np.diff(words.row[at[first]], prepend=-1))]
-            for i in first.tolist():
-                row = int(words.row[at[i]])
-                if length[i] > best[row][0]:
-                    best[row] = (int(length[i]), block.items[block.item[test[i]]], int(at[i] - words.first[row]))
+            np.add.at(edge, at + np.repeat(found.need, size), -1)
+            for row, item in pairs(words, block, found).tolist():
+                items[row].add(block.items[item])
+            for p, t, n in zip(*(x.tolist() for x in longest(words, block, found))):
+                row = int(words.row[p])
+                if n > best[row][0]:
+                    best[row] = (n, block.items[block.item[t]], int(p - words.first[row]))
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
         n_hit = (hit[words.first[1:]] - hit[words.first[:-1]]).astype(np.int64)
         counts = words.counts.astype(np.int64)

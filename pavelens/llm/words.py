@@ -54,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept and grown per process."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
@@ -189,9 +189,9 @@ def _hash(data: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarra
         hi = min(len(start), max(lo + 1, int(np.searchsorted(start, start[lo] + block))))
         a, b = int(start[lo]), int(end[hi - 1])
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(value[data[a:b]] * _powers(_POLY, b - a), out=sums[1:])
+        np.cumsum(value[data[a:b]] * powers(_POLY, b - a), out=sums[1:])
         s, e = start[lo:hi] - a, end[lo:hi] - a
-        out[lo:hi] = (sums[e] - sums[s]) * _powers(pow(_POLY, -1, 1 << 64), b - a + 1)[s]
+        out[lo:hi] = (sums[e] - sums[s]) * powers(pow(_POLY, -1, 1 << 64), b - a + 1)[s]
         lo = hi
     return mix(out + (end - start).astype(np.uint64) * _MULT)
 

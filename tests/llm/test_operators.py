@@ -175,6 +175,55 @@ def test_leaked_labels_equal_brute_force(spark):
     assert decontam.find_leaked_labels(df.where("false").select("image", "value"), bench).count() == 0
 
 
+def leak_kernel(texts, tests):
+    """n_hit, items and the longest match per text, by the operator's kernels on one block."""
+    given = words.split(pa.array([t for _, t in tests]), "alnum")
+    block = decontam.TestBlock(given.hash, given.first, [i for i, _ in tests])
+    own = words.split(pa.array(texts), "alnum")
+    found = decontam.search(own, block)
+    if not len(found.low):
+        return own, block, found, set(), {}
+    at, test, n = decontam.longest(own, block, found)
+    return own, block, found, {(int(r), block.items[i]) for r, i in decontam.pairs(own, block, found)}, {int(own.row[p]): (int(k), int(p - own.first[own.row[p]])) for p, k in zip(at, n)}
+
+
+def test_longest_matches_equal_brute_force():
+    r = random.Random(12)
+    for _ in range(25):
+        tests = [(f"t{k}", prose(r.random(), r.choice([3, 13, 20, 60]), r.choice([1, 2, 40]))) for k in range(6)]
+        texts = []
+        for _ in range(8):
+            w = []
+            while len(w) < r.randrange(1, 120):
+                t = r.choice(tests)[1].split()
+                a = r.randrange(len(t))
+                w += t[a : a + r.randrange(1, 40)] if r.random() < 0.7 else [f"z{r.randrange(9)}"]
+            texts.append(" ".join(w))
+        *_, got = leak_kernel(texts, tests)
+        for row, text in enumerate(texts):
+            x, best = text.split(), (0, None)
+            for _, t in tests:
+                y = t.split()
+                for p in range(len(x)):
+                    for q in range(len(y)):
+                        n = 0
+                        while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                            n += 1
+                        if n >= min(13, len(y)) and (n > best[0] or (n == best[0] and p < best[1])):
+                            best = (n, p)
+            assert got.get(row, (0, None)) == best, (text, tests)
+
+
+def test_repeated_words_are_not_compared_in_pairs():
+    import time
+
+    began = time.perf_counter()
+    _, block, found, pairs, best = leak_kernel(["a " * 100_000, "b " * 50_000 + "a " * 20], [("t", "a " * 400), ("u", "b " * 300), ("v", "a a")])
+    assert time.perf_counter() - began < 10  # seconds; a second or two alone
+    assert best == {0: (400, 0), 1: (300, 0)} and pairs == {(0, "t"), (0, "v"), (1, "t"), (1, "u"), (1, "v")}
+    assert len(found.low) <= 4
+
+
 def test_secrets(spark):
     body = "abcdefghijklmnopqrstuvwxyz0123"
     n, check = zlib.crc32(body.encode()), ""

@@ -26,8 +26,11 @@ def corridor_centers(frames: DataFrame, keys: list[str]) -> DataFrame:
     return base.withColumn("dx", p["x"]).withColumn("dy", p["z"]).withColumnRenamed("_b", "base")
 
 
-def canvas(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Canvas header per corridor: extents with margin, scale and pixel size, capped by rescaling."""
+def canvas(frames: DataFrame, keys: list[str], max_px: int | None = MAX_CANVAS_PX) -> DataFrame:
+    """Canvas header per corridor: extents with margin, scale and pixel size.
+
+    A longer side of over ``max_px`` pixels is brought down to that by a coarser scale, which ``ppm`` tells; None keeps the scale.
+    """
     c = corridor_centers(frames, keys).groupBy(*keys).agg(
         F.min("base").alias("base"),
         (F.min("dx") - MARGIN_M).alias("min_x_m"), (F.max("dx") + MARGIN_M).alias("max_x_m"),
@@ -35,7 +38,9 @@ def canvas(frames: DataFrame, keys: list[str]) -> DataFrame:
     )
     wide, high = F.col("max_x_m") - F.col("min_x_m"), F.col("max_y_m") - F.col("min_y_m")
     full = F.greatest(F.floor(wide * PIXELS_PER_METER), F.floor(high * PIXELS_PER_METER))
-    ppm = F.when(full > MAX_CANVAS_PX, PIXELS_PER_METER * (MAX_CANVAS_PX / full)).otherwise(PIXELS_PER_METER)
+    ppm = F.lit(PIXELS_PER_METER)
+    if max_px is not None:
+        ppm = F.when(full > max_px, PIXELS_PER_METER * (max_px / full)).otherwise(PIXELS_PER_METER)
     return c.withColumn("ppm", ppm).select(
         *keys,
         F.col("base.lat").alias("base_lat"), F.col("base.lon").alias("base_lon"), F.col("base.heading").alias("base_heading"),
@@ -45,9 +50,9 @@ def canvas(frames: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def canvas_centers(frames: DataFrame, keys: list[str]) -> DataFrame:
+def canvas_centers(frames: DataFrame, keys: list[str], max_px: int | None = MAX_CANVAS_PX) -> DataFrame:
     """Frame centres in canvas pixels."""
-    head = canvas(frames, keys).select(*keys, "min_x_m", "max_y_m", "ppm")
+    head = canvas(frames, keys, max_px).select(*keys, "min_x_m", "max_y_m", "ppm")
     return salted_join(corridor_centers(frames, keys), head, keys).select(
         *keys, "frame_idx",
         ((F.col("dx") - F.col("min_x_m")) * F.col("ppm")).alias("cx"),

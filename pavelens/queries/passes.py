@@ -146,12 +146,19 @@ def choose_representative(spark, sf):
     return out.select("det_id", "group_id", "group_size", "hidden", "is_grouped", "is_stitched")
 
 
+@query("spanned_frames")
+def spanned_frames(spark, sf):
+    from ..session import cut
+    g = cut(gp.defect_groups(_det(spark, sf), ["project"]))
+    return gp.spanned_frames(gp.choose_representative(g, gp.dedupe_group(g, ["project"])))
+
+
 @query("merge_polygons")
 def merge_polygons(spark, sf):
     from ..session import cut
     g = cut(gp.defect_groups(_det(spark, sf), ["project"]))
     left = cut(gp.dedupe_group(g, ["project"]))
-    out = gp.merge_polygons(left, ["project"], 0.05)
+    out = gp.merge_polygons(left, ["project"])
     return out.select("group_id", "part", rnd("area_sqm", 4).alias("area_sqm"))
 
 

@@ -306,6 +306,57 @@ def depth_stats(points: DataFrame, planes: DataFrame, keys: list[str]) -> DataFr
     )
 
 
+def physical_depth(
+    cells: DataFrame, cameras: DataFrame, planes: DataFrame, keys: list[str], cam_h: float, area: str | None = None
+) -> DataFrame:
+    """Depth, surface and volume of a dent in metres, per detection, from relative depth.
+
+    cells: keys..., row, col, depth (relative, along the ray), mask (true inside the dent). cameras: keys..., k. planes: keys..., a, b, c, d of the road in
+    the same relative units, as ``refit_plane`` gives it; the scale is the one that puts the plane ``cam_h`` from the camera. Noise is zeroed and depth capped as in ``depth_below_plane``.
+    A cell's surface is the patch of road plane between its ray and those of its right and lower neighbours, or its share of the known area in column ``area``
+    of ``planes``, where that is positive. Returns ``max_depth_m`` (98th percentile of positive depths), ``mean_depth_m``, ``area_sqm``, ``volume_m3`` (depth times surface, summed) and ``quality`` (share of the mask with
+    depth). Cells without depth or mask count for nothing; a plane through the camera gives no row.
+    """
+    given = F.coalesce(F.col(area), F.lit(0.0)) if area else F.lit(0.0)
+    side = planes.where(F.abs("d") >= 1e-6).select(*keys, *[F.col(n).alias(f"_{n}") for n in "abcd"], given.cast("double").alias("_known"))
+    side = side.join(cameras.select(*keys, camera.inverse(F.col("k")).alias("_ki")), keys)
+    inside = cells.where(F.col("mask") & (F.col("depth") > 0)).select(*keys, F.col("row").cast("double").alias("_row"), F.col("col").cast("double").alias("_col"), "depth")
+    size = F.sqrt(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") + F.col("_c") * F.col("_c"))
+    j = _hot_join(inside, side, keys).withColumn("_scale", cam_h * size / F.abs("_d"))
+    ray = lambda dr, dc: camera.apply(F.col("_ki"), F.col("_col") + dc, F.col("_row") + dr, F.lit(1.0))
+
+    def on_plane(dr: int, dc: int) -> list[Column]:
+        x, y, z = ray(dr, dc)
+        along = F.col("_a") * x + F.col("_b") * y + F.col("_c") * z
+        t = -F.col("_d") * F.col("_scale") / F.when(F.abs(along) < 1e-6, 1e-6).otherwise(along)
+        return [x * t, y * t, z * t]
+
+    here, right, down = on_plane(0, 0), on_plane(0, 1), on_plane(1, 0)
+    u, v = [b - a for a, b in zip(here, right)], [b - a for a, b in zip(here, down)]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    x, y, z = (F.col("depth") * F.col("_scale") * c for c in ray(0, 0))
+    raw = F.signum("_c") * (F.col("_a") * x + F.col("_b") * y + F.col("_c") * z + F.col("_d") * F.col("_scale")) / size
+    deep = j.select(
+        *keys, "_known", F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]).alias("_patch"),
+        F.when(raw < NOISE_DEPTH_M, 0.0).otherwise(F.least(raw, F.lit(MAX_DEPTH_M))).alias("depth_m"),
+    )
+    deep = cut(deep)
+    positive = F.col("depth_m") > 0
+    sums = deep.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(positive).alias("_v"), F.avg(F.when(positive, F.col("depth_m"))).alias("_mean"), F.max("_known").alias("_known"),
+        F.sum(F.when(positive, F.col("_patch"))).alias("_area"), F.sum(F.when(positive, F.col("depth_m"))).alias("_deep"), F.sum(F.when(positive, F.col("depth_m") * F.col("_patch"))).alias("_volume"),
+    )
+    top = percentiles(deep.where(positive), keys, {"depth_m": [0.98]})
+    known = (F.col("_known") > 0) & (F.col("_v") > 0)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return sums.join(top, keys, "left").select(
+        *keys, zero(F.col("depth_m")[0]).alias("max_depth_m"), zero(F.col("_mean")).alias("mean_depth_m"),
+        F.when(known, F.col("_known")).otherwise(zero(F.col("_area"))).alias("area_sqm"),
+        F.when(known, F.col("_known") * F.col("_deep") / F.col("_v")).otherwise(zero(F.col("_volume"))).alias("volume_m3"),
+        (F.col("_v") / F.col("_n")).alias("quality"),
+    )
+
+
 def plane_depth(points: DataFrame, planes: DataFrame, keys: list[str], cam_h: float, deep_m: float = 0.05) -> DataFrame:
     """Scale a cloud so that its road plane lies cam_h below the origin and flag points below it."""
     up = F.when(F.col("b") < 0, -1.0).otherwise(1.0)

@@ -191,3 +191,23 @@ def masked_l1(spark, sf):
 def binary_confusion(spark, sf):
     out = mt.binary_confusion(feeds.pixels(spark, sf))
     return out.select("image_id", "tp", "fp", "fn", rnd("depth_error").alias("depth_error"), rnd("severity_error").alias("severity_error"))
+
+
+# Dents: an order's frame looks straight down from relative height 2; every line is a cell, deeper by its discount.
+DENT_SQL = """cells AS (SELECT DISTINCT o_custkey % 20 AS frame_id, l_orderkey % 300 AS row, l_partkey % 300 AS col, CASE WHEN (l_orderkey + l_partkey) % 3 = 0 THEN 2 + CAST((l_orderkey % 300 + l_partkey % 7) % 20 AS DOUBLE) / 100 ELSE 2 END AS depth
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey), m AS (SELECT *, least((depth - 2) * 0.75, 0.4) AS d FROM cells)"""
+
+
+@query("physical_depth", "WITH " + DENT_SQL + f"""
+SELECT frame_id, {r('quantile_cont(d, 0.98) FILTER (WHERE d >= 0.005)')} AS max_depth_m, {r('avg(d) FILTER (WHERE d >= 0.005)')} AS mean_depth_m, {r('count(*) FILTER (WHERE d >= 0.005) * pow(1.5 / 500, 2)', 9)} AS area_sqm,
+  {r('sum(d) FILTER (WHERE d >= 0.005) * pow(1.5 / 500, 2)', 9)} AS volume_m3, {r('count(*) FILTER (WHERE d >= 0.005)::DOUBLE / count(*)')} AS quality FROM m GROUP BY 1""")
+def physical_depth(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 20).alias("frame_id"))
+    k, p = F.col("l_orderkey"), F.col("l_partkey")
+    deep = F.when((k + p) % 3 == 0, F.lit(2.0) + ((k % 300 + p % 7) % 20).cast("double") / 100).otherwise(2.0)
+    cells = table(spark, sf, "lineitem").join(o, "l_orderkey").select("frame_id", (k % 300).alias("row"), (p % 300).alias("col"), deep.alias("depth")).distinct().withColumn("mask", F.lit(True))
+    frames = o.select("frame_id").distinct()
+    cams = frames.withColumn("k", F.array(*[F.lit(float(x)) for x in (500, 0, 150, 0, 500, 150, 0, 0, 1)]))
+    road = frames.select("frame_id", *[F.lit(float(x)).alias(n) for n, x in zip("abcd", (0, 0, 1, -2))])
+    out = pt.physical_depth(cells, cams, road, ["frame_id"], 1.5)
+    return out.select("frame_id", *[rnd(c, 9 if c in ("area_sqm", "volume_m3") else 6).alias(c) for c in ("max_depth_m", "mean_depth_m", "area_sqm", "volume_m3", "quality")])

@@ -328,3 +328,27 @@ def test_duplicates_of_a_long_chain_go_in_order(spark, monkeypatch, in_order):
     assert got == set(range(n)) - gone and len(gone) > n / 4
     if in_order:
         assert len(cuts) <= 3
+
+
+def test_volume_of_a_dent_in_a_tilted_road(spark):
+    """A dent 6 cm deep along the normal of a tilted road, seen in units of half a metre."""
+    n = np.array([0.1, -0.5, 1.0])
+    n /= np.linalg.norm(n)
+    k = np.array([[400.0, 0, 50], [0, 420.0, 40], [0, 0, 1]])
+    height, unit, deep = 1.4, 0.5, 0.06
+    rows, cells = 30, {}
+    for r in range(rows):
+        for c in range(rows):
+            ray = np.linalg.inv(k) @ [c, r, 1.0]
+            inside = 10 <= r < 20 and 10 <= c < 20
+            cells[r, c] = (ray, (height + deep * inside) / (n @ ray), inside)
+    at = lambda r, c: (np.linalg.inv(k) @ [c, r, 1.0]) * height / (n @ np.linalg.inv(k) @ [c, r, 1.0])
+    area = sum(np.linalg.norm(np.cross(at(r, c + 1) - at(r, c), at(r + 1, c) - at(r, c))) for (r, c), v in cells.items() if v[2])
+    df = spark.createDataFrame([(1, r, c, float(v[1] / unit), 5 <= r < 25 and 5 <= c < 25) for (r, c), v in cells.items()], "id int, row int, col int, depth double, mask boolean")
+    cams = spark.createDataFrame([(1, [float(x) for x in k.ravel()])], "id int, k array<double>")
+    plane = spark.createDataFrame([(1, *map(float, -n), height / unit, None)], "id int, a double, b double, c double, d double, sqm double")
+    got = pt.physical_depth(df, cams, plane, ["id"], height, area="sqm").first()
+    assert got["volume_m3"] == pytest.approx(area * deep, abs=1e-9) and got["area_sqm"] == pytest.approx(area, abs=1e-9)
+    assert got["max_depth_m"] == pytest.approx(deep) and got["mean_depth_m"] == pytest.approx(deep) and got["quality"] == pytest.approx(100 / 400)
+    got = pt.physical_depth(df, cams, plane.withColumn("sqm", F.lit(2.0)), ["id"], height, area="sqm").first()
+    assert got["volume_m3"] == pytest.approx(2.0 * deep) and got["area_sqm"] == 2.0

@@ -352,3 +352,15 @@ def test_volume_of_a_dent_in_a_tilted_road(spark):
     assert got["max_depth_m"] == pytest.approx(deep) and got["mean_depth_m"] == pytest.approx(deep) and got["quality"] == pytest.approx(100 / 400)
     got = pt.physical_depth(df, cams, plane.withColumn("sqm", F.lit(2.0)), ["id"], height, area="sqm").first()
     assert got["volume_m3"] == pytest.approx(2.0 * deep) and got["area_sqm"] == 2.0
+
+
+def test_boundary_distance_equals_all_pairs(spark):
+    from pavelens.operators.raster import boundary_distance
+
+    rnd = random.Random(1)
+    cells = {("a", r, c) for r in range(30) for c in range(40) if rnd.random() < 0.93} | {("b", 5, 5)} | {("c", r, c) for r in range(25) for c in range(25)}
+    got = boundary_distance(spark.createDataFrame(sorted(cells), "det string, row int, col int"), ["det"]).collect()
+    assert len(got) == len(cells)
+    for x in got:
+        far = min(math.hypot(x["row"] - r, x["col"] - c) for r in range(-1, 31) for c in range(-1, 41) if (x["det"], r, c) not in cells)
+        assert x["dist"] == pytest.approx(far)

@@ -13,6 +13,11 @@ def stream_results(spark: SparkSession, folder: str, files_per_trigger: int = 10
     return spark.readStream.schema(LIVE_EVENT).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
+def with_event_ids(events: DataFrame) -> DataFrame:
+    """Live events with an ``event_id`` (long) made of what tells events apart; an event that is sent twice gets the same one. For text operators, which name results by it."""
+    return events.withColumn("event_id", F.xxhash64("type", "source", "original_name", "filename", "event_time", "message"))
+
+
 def stream_batch_summary(events: DataFrame) -> DataFrame:
     """Running defect counts by class and severity of processed frames."""
     done = events.where(F.col("type") == "update")

@@ -99,3 +99,12 @@ def test_health_equals_the_batch_and_takes_gps9_alone(spark, tmp_path):
         assert got[k]["samples"] == w["samples"] and got[k]["bad_fix_ratio"] == w["bad_fix_ratio"] and got[k]["max_speed_error"] == w["max_speed_error"]
         assert got[k]["gps_score"] == pytest.approx(w["gps_score"]) and got[k]["imu_score"] == pytest.approx(w["imu_score"] if k != 4 else 100.0)
     assert out.where(F.size("warnings") > 0).count() > 0
+
+
+def test_events_get_ids_by_content(spark):
+    from pavelens.sources.schemas import LIVE_EVENT
+    from pavelens.streaming.results import with_event_ids
+
+    rows = [{"type": "item_error", "source": "a", "message": m} for m in ("x", "y", "x", None)]
+    got = [r["event_id"] for r in with_event_ids(spark.createDataFrame(rows, LIVE_EVENT)).collect()]
+    assert got[0] == got[2] and len(set(got)) == 3 and None not in got

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, need
+from .common import free, need, stage
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,12 @@ def host_reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", p
     domain, suffix = levels(F.col("_host"))
     seen = outcomes.select(F.col(f"`{host}`").alias("_host"), F.col(f"`{bad}`").alias("_is")).where("_host is not null and _is is not null")
     hosts = seen.groupBy("_host").agg(F.sum(F.col("_is").cast("long")).alias("_bad"), F.count(F.lit(1)).alias("_all")).withColumn("_domain", domain).withColumn("_suffix", suffix)
+    # one row per host: written once, so that no level reads the outcomes again
+    hosts = stage(hosts, "hosts")
     domains = hosts.groupBy("_domain", "_suffix").agg(F.sum("_bad").alias("_bad"), F.sum("_all").alias("_all"))
     suffixes = domains.groupBy("_suffix").agg(F.sum("_bad").alias("_bad"), F.sum("_all").alias("_all"))
-    of_suffix = _shrunk(suffixes, "_suffix", None, None, prior)
-    of_domain = _shrunk(domains, "_domain", of_suffix, "_suffix", prior)
+    of_suffix = stage(_shrunk(suffixes, "_suffix", None, None, prior), "suffixes")
+    of_domain = stage(_shrunk(domains, "_domain", of_suffix, "_suffix", prior), "domains")
     of_host = _shrunk(hosts, "_host", of_domain, "_domain", prior)
     sd = F.sqrt(F.col("_mean") * (1 - F.col("_mean")) / (F.col("_weight") + 1))
     return of_host.select(F.col("_host").alias("host"), F.col("_all").alias("n_outcomes"), F.col("_bad").alias("n_bad"), F.col("_mean").alias("bad_mean"), sd.alias("bad_sd"))

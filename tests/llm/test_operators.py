@@ -241,6 +241,51 @@ def test_secrets(spark):
     assert secrets.find_secrets(events(spark, [])).count() == 0
 
 
+def test_base_spans_equal_plain_patterns(spark):
+    import re
+
+    r = random.Random(8)
+    bits = ["password", "PassWd", "secret=", "token : ", "api_key=", "apikey='", "AKIA", "=", ":", " ", "'", '"', "\n", "ABCDEF0123456789XYZ", "0123456789abcdef", "deadbeefdeadbeefdeadbeef", "é", "🙂", "x", "/+_.-", "akia"]
+    texts = [t or "" for t in ODD] + ["".join(r.choices(bits, k=r.randrange(1, 40))) for _ in range(400)] + ["pass", "word = abcdefgh", "x" * 200_000 + "token=abcdef" + "0f" * 60_000]
+    patterns = {"assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile("[0-9a-f]+"), 0, 24)}
+    df = spark.createDataFrame(list(enumerate(texts)), "event_id long, message string").coalesce(1)
+    for x in secrets.find_secrets(df).collect():
+        t = texts[x.event_id]
+        want = [(m.start(), list(patterns).index(k), m.end()) for k, (p, g, n) in patterns.items() for m in p.finditer(t) if len(m[g]) >= n]
+        got = [(s.start, list(patterns).index(s.kind), s.end) for s in x.spans if s.kind in patterns]
+        assert got == sorted(want), t[:200]
+
+
+def test_reputation_equals_plain_arithmetic(spark):
+    r = random.Random(3)
+    rows = [(f"h{k % 9}.d{k % 4}.{'org' if k % 3 else 'net'}", r.random() < (0.8 if k % 9 == 2 else 0.2)) for k in range(400)] + [("solo.example.com", True), ("", False)]
+    got = {x.host: (x.n_outcomes, x.n_bad, x.bad_mean, x.bad_sd) for x in urls.host_reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    counts: dict = {}
+    for h, bad in rows:
+        for level, name in ((0, h.rsplit(".", 1)[-1]), (1, ".".join(h.split(".")[-2:])), (2, h)):
+            c = counts.setdefault(level, {}).setdefault(name, [0, 0])
+            c[0] += bad
+            c[1] += 1
+    up: dict = {}
+    for level in range(3):
+        total = [sum(c[i] for c in counts[level].values()) for i in (0, 1)]
+        prior = {}
+        for name, (b, n) in counts[level].items():
+            if level == 0:
+                prior[name] = (total[0] + 0.5) / (total[1] + 1)
+            else:
+                mean, weight = up[name.rsplit(".", 1)[-1] if level == 1 else ".".join(name.split(".")[-2:])]
+                prior[name] = (mean * weight - b) / (weight - n)
+        many = [(b, n, prior[name]) for name, (b, n) in counts[level].items() if n > 1]
+        rho = sum(n * ((b / n - p) ** 2 / (p * (1 - p))) - 1 for b, n, p in many) / sum(n - 1 for _, n, _ in many) if many else None
+        strength = 10.0 if rho is None else 1000.0 if rho <= 0.001 else max(1 / rho - 1, 1.0)
+        up = {name: ((b + prior[name] * strength) / (n + strength), n + strength) for name, (b, n) in counts[level].items()}
+    assert got.keys() == up.keys()
+    for h, (mean, weight) in up.items():
+        assert got[h][:2] == (counts[2][h][1], counts[2][h][0])
+        assert got[h][2] == pytest.approx(mean) and got[h][3] == pytest.approx((mean * (1 - mean) / (weight + 1)) ** 0.5), h
+
+
 def test_repeated_passages_equal_brute_force(spark):
     shared = prose(1, 60).split()
     rows = [(k, " ".join([prose(10 + k, 20), *shared[k % 9 : k % 9 + 12 + k % 5], prose(50 + k, 30)])) for k in range(60)]
